@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,3 +75,41 @@ def running_start(df: DataFrame, keys: list[str], chunk: str, order: list[Column
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = df.withColumn("_inside", F.sum(amount).over(inside) - F.col(amount))
     return placed.join(base, [*keys, chunk]).withColumn(out, F.col("_base") + F.col("_inside")).drop("_base", "_inside")
+
+
+#: Bytes of text that a Python worker takes in hand at once; a longer text is taken alone.
+SLICE_BYTES = 4_000_000
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], key: str, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(keys, UTF-8 texts) of a few MB at a time; null texts are empty."""
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(key))
+        texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).fill_null(b"")
+        if not len(texts):
+            continue
+        sizes = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+        sizes = np.diff(sizes)
+        upto, begin = np.cumsum(sizes), 0
+        while begin < len(sizes):
+            done = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, done + most, side="right")))
+            yield keys.slice(begin, end - begin), texts.slice(begin, end - begin).to_pylist()
+            begin = end
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of a sorted integer column, which may cross batches, one table at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, int)
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and values[begin] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = values[begin]
+    if held:
+        yield pa.Table.from_batches(held)
