@@ -78,7 +78,7 @@ def running_start(df: DataFrame, keys: list[str], chunk: str, order: list[Column
 
 
 #: Bytes of text that a Python worker takes in hand at once; a longer text is taken alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], key: str, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list[bytes]]]:

@@ -7,10 +7,11 @@ k2 elements, so one of the subsets of n2 - k2 of its sub-parts has equal content
 hashed to a signature, and similar sets share one. ``spare`` extra parts let signatures of fewer than LIGHT elements be
 left out where a set has few of them, which keeps chance collisions rare without losing a pair.
 
-Steps: one pass hashes texts to sets and signatures, and links documents that share one inside a batch, forwarding one
-document for each signature; the signatures meet by hash ranges and are linked there; components of these candidate
-links are clusters; within a cluster all pairs of one instance are counted exactly, in blocks of bounded size; and the
-components of the true links, with the classes of equal sets put back, are the result. Candidates only cost time:
+Steps: one pass fingerprints the sets; a second one hashes them to signatures, links documents that share one inside a
+batch and forwards one document for each signature; the signatures meet by instance and hash range and are linked
+there; components of these candidate links, within an instance, are clusters; all pairs of a cluster are counted
+exactly, in blocks of bounded size; and the components of the true links, with the classes of equal sets put back, are
+the result. Candidates only cost time:
 whatever shares no signature is not similar, whatever is not similar fails the exact count.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; equal sets are
@@ -35,11 +36,14 @@ from .components import components
 from .shingles import mixed, shingle_sets
 
 LIGHT = 2
-SHARDS_BITS = 10
+#: An instance's signatures are dealt over so many ranges.
+SHARDS = 64
 #: Elements of sets in a block of a cluster; a pair of blocks is counted at once.
 BLOCK_ELEMENTS = 500_000
 #: Signatures that a worker holds before it links and forwards them.
 HELD = 1_500_000
+#: Up to so many documents of clusters their ids (8 bytes each) are broadcast to pick texts; beyond, texts are joined.
+MOST_BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -70,7 +74,7 @@ class PartEnum:
             else:
                 need = -(-(k + 1) // 2)
                 spare = 0 if need <= 4 else 1 + need // 8
-                scheme = Scheme(need + spare, 3 if end < 60 else 2, 1, spare)
+                scheme = Scheme(need + spare, 3, 1, spare)
             self.schemes.append(scheme)
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
@@ -82,18 +86,19 @@ class PartEnum:
             self._extend(self.ends[-1] + 1)
         return self.schemes[instance]
 
-    def signatures(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signatures, index of the set that each is of). Codes are sorted within each set."""
+    def signatures(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signatures, index of the set that each is of, instance). Codes are sorted within each set."""
         sizes = np.diff(offsets)
         bands = self.band(sizes)
-        found, owners = [], []
+        found, owners, instances = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for step in (0, 1):
             for instance in np.unique(bands[bands > 0]) + step:
                 sets = np.flatnonzero((bands + step == instance) & (bands > 0))
                 sig, owner = self._of_instance(int(instance), codes, offsets[sets], sizes[sets])
                 found.append(sig)
                 owners.append(sets[owner])
-        return (np.concatenate(found), np.concatenate(owners)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                instances.append(np.full(len(sig), instance))
+        return np.concatenate(found), np.concatenate(owners), np.concatenate(instances)
 
     def _of_instance(self, instance: int, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = self.scheme(instance)
@@ -153,75 +158,99 @@ def _meet(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig[head], doc[head], np.unique(np.stack([doc[other], leader[other]], 1), axis=0)
 
 
-DOC, LINK, SIGNATURES = 0, 1, 2
-_SIGNED = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("sigs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+def _fingerprints(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set; 0 for empty ones."""
+    full = np.diff(offsets) > 0
+    with np.errstate(over="ignore"):
+        sums = [np.add.reduceat(np.append(mixed(codes ^ np.uint64(salt)), np.uint64(0)), offsets[:-1]) for salt in (0, 0x5851F42D4C957F2D)]
+    return tuple(np.where(full, x, np.uint64(0)).view(np.int64) for x in sums)
 
 
-def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
-    full = [pa.array(np.full(n, kind, np.int32))] + [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in list(_SIGNED)[1:]]
-    return pa.RecordBatch.from_arrays(full, schema=_SIGNED)
+def set_table(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, fa, fb): size and fingerprint of each row's set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in common.text_slices(batches, "doc_id"):
+            codes, offsets = shingle_sets(texts, words)
+            fa, fb = _fingerprints(codes, offsets)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(fa), pa.array(fb)], names=["doc_id", "n", "fa", "fb"])
 
-def _forwarded(sig: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links inside the batch, and one document for each signature by shard (its leading bits)."""
-    sig, doc, links = _meet(sig, doc)
-    if len(links):
-        forest = Forest()
-        forest.link(links)
-        links = forest.edges()
-        yield _rows(LINK, len(links), x=pa.array(links[:, 0]), y=pa.array(links[:, 1]))
-    shard = sig >> np.uint64(64 - SHARDS_BITS)
-    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])[: len(shard)])
-    if len(first):
-        at = pa.array(np.append(first, len(sig)), pa.int32())
-        yield _rows(SIGNATURES, len(first), x=pa.array(shard[first].astype(np.int64)), sigs=pa.ListArray.from_arrays(at, pa.array(sig.view(np.int64))), docs=pa.ListArray.from_arrays(at, pa.array(doc)))
+    return common.stored(_texts(docs).mapInArrow(run, "doc_id long, n long, fa long, fb long"), "sets")
 
 
-def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows of three kinds: documents (x id, y set size, fa and fb the set's fingerprint), links (x, y), signatures by shard x."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_SIGNED = "instance long, shard long, sigs array<long>, docs array<long>, others array<long>"
+_LONGS = pa.list_(pa.int64())
+
+
+def _forwarded(sig: np.ndarray, doc: np.ndarray, instance: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of an instance: one document for each signature by shard, and (in shard 0) the links inside the batch, docs to others."""
+    columns: list[list] = [[], [], [], [], []]
+    order = np.argsort(instance, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(instance[order]) > 0, [True]])) if len(order) else np.zeros(1, int)
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[begin:end]
+        number = int(instance[at[0]])
+        heads, leaders, links = _meet(sig[at], doc[at])
+        if len(links):
+            forest = Forest()
+            forest.link(links)
+            links = forest.edges()
+            for column, value in zip(columns, (number, 0, [], links[:, 0], links[:, 1]), strict=True):
+                column.append(value)
+        shard = (heads >> np.uint64(32)) * np.uint64(SHARDS) >> np.uint64(32)
+        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for column, value in zip(columns, (number, int(shard[a]), heads[a:b].view(np.int64), leaders[a:b], []), strict=True):
+                column.append(value)
+    arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, _LONGS) for c in columns[2:])]
+    yield pa.RecordBatch.from_arrays(arrays, names=["instance", "shard", "sigs", "docs", "others"])
+
+
+def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(instance, u, v): links that connect all documents of an instance that share a signature."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, held, n_held = PartEnum(percent), [], 0
         for ids, texts in common.text_slices(batches, "doc_id"):
             codes, offsets = shingle_sets(texts, words)
             sizes = np.diff(offsets)
-            with np.errstate(over="ignore"):
-                sums = [np.add.reduceat(np.append(mixed(codes ^ np.uint64(salt)), np.uint64(0)), offsets[:-1]) for salt in (0, 0x5851F42D4C957F2D)]
-            fa, fb = (np.where(sizes > 0, x, np.uint64(0)).view(np.int64) for x in sums)
-            yield _rows(DOC, len(ids), x=ids.cast(pa.int64()), y=pa.array(sizes.astype(np.int64)), fa=pa.array(fa), fb=pa.array(fb))
+            fa, fb = _fingerprints(codes, offsets)
             known = ids.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
             number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.lexsort((number, fb, fa))  # of equal sets only the least document goes on
-            same = np.concatenate([[False], (fa[order][1:] == fa[order][:-1]) & (fb[order][1:] == fb[order][:-1]) & known[order][:-1]])
+            order = np.lexsort((number, ~known, fb, fa))  # of equal sets only the least document goes on
+            same = np.concatenate([[False], (fa[order][1:] == fa[order][:-1]) & (fb[order][1:] == fb[order][:-1])])
             known[order[same]] = False
             keep = np.flatnonzero(known)
-            part = np.repeat(known, sizes)
-            sig, owner = scheme.signatures(codes[part], np.concatenate([[0], np.cumsum(sizes[keep])]))
-            held.append((sig, number[keep][owner]))
+            sig, owner, instance = scheme.signatures(codes[np.repeat(known, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
+            held.append((sig, number[keep][owner], instance))
             n_held += len(sig)
             if n_held > HELD:
                 yield from _forwarded(*map(np.concatenate, zip(*held, strict=True)))
                 held, n_held = [], 0
-        if held:
+        if n_held:
             yield from _forwarded(*map(np.concatenate, zip(*held, strict=True)))
 
-    schema = "kind int, x long, y long, fa long, fb long, sigs array<long>, docs array<long>"
-    return common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "signed")
-
-
-def _met(rows: DataFrame) -> DataFrame:
-    """Links (u, v) between documents that share a signature, from rows dealt by shard: a spanning forest for each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for group in common.runs(batches, "x"):
-            sig = group.column("sigs").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            doc = group.column("docs").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            forest.link(_meet(sig, doc)[2])
-        links = forest.edges()
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
-
-    return rows.select("x", "sigs", "docs").repartition("x").sortWithinPartitions("x").mapInArrow(run, "u long, v long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in common.runs(batches, "instance"):
+            forest = Forest()
+            for part in common.runs(iter(rows.to_batches()), "shard"):
+                sig, doc, other = (part.column(c).combine_chunks() for c in ("sigs", "docs", "others"))
+                linked = pc.greater(pc.list_value_length(other), 0)
+                u, v = (x.filter(linked).flatten().to_numpy(zero_copy_only=False) for x in (doc, other))
+                forest.link(np.stack([u, v], 1))
+                met = doc.filter(pc.invert(linked)).flatten().to_numpy(zero_copy_only=False)
+                forest.link(_meet(sig.flatten().to_numpy(zero_copy_only=False), met)[2])
+            links = forest.edges()
+            if len(links):
+                number = np.full(len(links), rows.column("instance")[0].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["instance", "u", "v"])
+
+    rows = _texts(docs).mapInArrow(sign, _SIGNED).repartition("instance", "shard").sortWithinPartitions("instance", "shard")
+    return common.stored(rows.mapInArrow(meet, "instance long, u long, v long"), "candidates")
 
 
 def _links_of(ids: np.ndarray, codes: np.ndarray, offsets: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
@@ -252,30 +281,42 @@ def _links_of(ids: np.ndarray, codes: np.ndarray, offsets: np.ndarray, side: np.
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """True links (u, v) inside clusters (doc_id, component, n): a spanning forest of each pair of blocks."""
-    scheme = PartEnum(percent)
-    weights = clusters.groupBy("component").agg(F.sum("n").alias("_weight"))
+def clusters(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, n, instance, cluster): representatives of classes that candidate links connect with others.
+
+    Nodes are hashes of document and instance; should two collide, their clusters are counted as one.
+    """
+    node = lambda c: F.xxhash64(F.col(c), "instance")
+    found = components(candidates.select(node("u").alias("u"), node("v").alias("v")))
+    nodes = candidates.select("instance", F.col("u").alias("doc_id")).union(candidates.select("instance", "v")).distinct()
+    nodes = nodes.join(classes.select(F.col("class_id").alias("doc_id"), "n"), "doc_id").withColumn("node", node("doc_id"))
+    members = nodes.join(found, "node").select("doc_id", "n", "instance", F.col("component").alias("cluster"))
+    several = members.groupBy("cluster").agg(F.count("*").alias("_members"), F.sum("n").alias("_weight")).filter("_members > 1")
     blocks = F.ceil(F.col("_weight") / BLOCK_ELEMENTS).cast("long")
-    members = clusters.join(weights, "component").select("doc_id", "component", "n", blocks.alias("_blocks"))
-    members = members.withColumn("_block", F.pmod(F.xxhash64("doc_id"), "_blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
+    return common.stored(members.join(several.select("cluster", blocks.alias("blocks")), "cluster"), "clusters")
+
+
+def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """True links (u, v) inside clusters: a spanning forest of each pair of blocks."""
+    places = members.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "blocks")).alias("places"))  # at most two
+    if members.count() <= MOST_BROADCAST:
+        places = F.broadcast(places)
+    texts = _texts(docs).join(places, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, text in common.text_slices([batch], "doc_id"):
                 codes, offsets = shingle_sets(text, words)
-                bands = scheme.band(np.diff(offsets))
-                part = batch.slice(at, len(ids))
-                at += len(ids)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(4), part.column(5), pa.array(bands.astype(np.int64)), lists], names=["doc_id", "component", "blocks", "block", "band", "codes"])
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(at, len(ids)), lists], names=["doc_id", "places", "codes"])
+                at += len(ids)
 
-    made = texts.select("doc_id", "text", "component", "n", "_blocks", "_block").mapInArrow(sets, "doc_id long, component long, blocks long, block long, band long, codes array<long>")
-    made = made.withColumn("instance", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    made = texts.select("doc_id", "text", "places").mapInArrow(sets, "doc_id long, places array<struct<cluster:bigint,blocks:bigint>>, codes array<bigint>")
+    made = made.select("doc_id", "codes", F.explode("places").alias("_p")).select("doc_id", "codes", "_p.*")
+    made = made.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
     made = made.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    made = made.withColumn("_key", F.xxhash64("component", "instance", F.least("block", "other"), F.greatest("block", "other")))
+    made = made.withColumn("_key", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
     made = made.withColumn("side", (F.col("block") > F.col("other")).cast("long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,17 +340,13 @@ def near_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     class_id is the least doc_id with an equal set, component_id the least one that links reach; both are the document
     itself where it is linked with nothing.
     """
-    rows = signed(docs, words, percent)
-    sets = rows.filter(f"kind = {DOC}").select(F.col("x").alias("doc_id"), F.col("y").alias("n"), "fa", "fb")
-    classes = common.stored(sets.filter("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    links = rows.filter(f"kind = {LINK}").select(F.col("x").alias("u"), F.col("y").alias("v")).union(_met(rows.filter(f"kind = {SIGNATURES}")))
-    found = components(links)
-    clusters = found.join(classes.select(F.col("class_id").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), "component", "n")
-    several = clusters.groupBy("component").agg(F.count("*").alias("_several")).filter("_several > 1").select("component")
-    clusters = common.stored(clusters.join(several, "component"), "clusters")
-    true = components(_verified(docs, clusters, words, percent))
-    classes = classes.join(true, F.col("class_id") == F.col("node"), "left").select("fa", "fb", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    whole = sets.filter("n > 0").join(classes, ["fa", "fb", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
-    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
-    return whole.union(alone).select("doc_id", "n_shingles", own("class_id"), own("component_id"))
+    sets = set_table(docs, words)
+    known = sets.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = common.stored(known.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id")), "classes")
+    members = clusters(candidate_links(docs, words, percent), classes)
+    true = components(_verified(docs, members, words, percent))
+    linked = F.coalesce("component", "class_id").alias("component_id")
+    classes = classes.join(true, F.col("class_id") == F.col("node"), "left").select("fa", "fb", "n", "class_id", linked)
+    whole = known.join(classes, ["fa", "fb", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    alone = sets.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return whole.union(alone)
