@@ -39,8 +39,8 @@ def _power(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the lower-cased words of all texts in turn, offsets of the texts among them)."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, first and end places of their words in them, hashes of the lower-cased words, offsets of the texts among the words)."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = _BLANK[data]
     inner = ~blank
@@ -49,13 +49,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
     offsets = np.concatenate([[0], np.searchsorted(begins, place, side="left")])
     if not len(begins):
-        return np.zeros(0, np.uint64), offsets
+        return data, begins, ends, np.zeros(0, np.uint64), offsets
     lengths = ends - begins
     with np.errstate(over="ignore"):
         chars = _BYTE[data[inner]]
         starts = np.cumsum(lengths) - lengths
         chars *= _power(int(lengths.max()))[np.arange(len(chars)) - np.repeat(starts, lengths)]
-        return mixed(np.add.reduceat(chars, starts) + lengths.astype(np.uint64)), offsets
+        return data, begins, ends, mixed(np.add.reduceat(chars, starts) + lengths.astype(np.uint64)), offsets
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the lower-cased words of all texts in turn, offsets of the texts among them)."""
+    return word_spans(texts)[3:]
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:

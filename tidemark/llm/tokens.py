@@ -5,9 +5,10 @@ id; each task then encodes its texts and streams them to its ORC file. A row is
 doc_id through all files (part number times 2^33 plus row), ids end with ``end_id``. Readers prune stripes and row
 groups by the indexes and Bloom filters of doc_id, and get places in the whole stream from the lengths.
 
-Texts are encoded a word (run without ASCII white space) at a time, through a bounded cache. That equals encoding the
-whole text for vocabularies that drop white space and split at it (``word_bpe_49k.json``); pass ``by_word=False`` for
-others.
+Texts are encoded a word (run without ASCII white space) at a time, through a bounded cache by 64-bit hash. That equals
+encoding the whole text for vocabularies that drop white space, split at it and lower-case (``word_bpe_49k.json``); pass
+``by_word=False`` for others. Texts with what may be a special token (``<|``) or with combining marks, whose composition
+depends on case, go to the library whole.
 
 Defined cases: a null text counts as empty and gives only ``end_id``; rows that repeat a doc_id follow each other in
 the order of (hash of text, text); null ids come first; an empty table gives no rows. Only doc_id and text are read.
@@ -15,6 +16,7 @@ the order of (hash of text, text); null ids come first; an empty table gives no
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,65 +28,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .shingles import word_spans
 
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 ROW_GROUP = 1000
 
-_PLAIN = re.compile(rb"([a-z]+)([.,])")
+_WHOLE = re.compile(rb"<\||[\xcc\xcd]")
+_PLAIN = re.compile(rb"[a-z]+[.,]?")
+#: Words that the library gets in one call.
+CALL_WORDS = 2000
 
 
 class WordEncoder:
-    """Ids of whole texts by way of their words; keeps the ids of up to ``limit`` words."""
+    """Ids of whole texts by way of their words; keeps the ids of up to ``limit`` words (about 25 bytes each)."""
 
     def __init__(self, tokenizer_json: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.limit = limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_unit[[i for unit, i in vocabulary.items() if unit.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}  # word -> its place in starts and lengths
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Encode what is new; the ASCII words among them by lower-case stem and final mark, which are units of their own."""
-        parts = {}
-        for word in new:
-            low = word.lower() if word.isascii() and b"<" not in word else word
-            found = _PLAIN.fullmatch(low)
-            parts[word] = (found[1], found[2]) if found else (low,)
-        units = list({p for x in parts.values() for p in x})
-        coded = dict(zip(units, (x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in units], add_special_tokens=False)), strict=True))
-        ids = [[i for p in x for i in coded[p]] for x in parts.values()]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-        first = len(self.starts)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, flat])
-        self.place.update(zip(parts, range(first, first + len(parts)), strict=True))
+        self.keys = np.zeros(0, np.uint64)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1024, np.int32), 0
+
+    def _one_by_one(self, words: list[bytes]) -> list[np.ndarray]:
+        found = []
+        for at in range(0, len(words), CALL_WORDS):
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in words[at : at + CALL_WORDS]], add_special_tokens=False)
+            found += [np.array(x.ids, np.int32) for x in coded]
+        return found
+
+    def _together(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain words, encoded many at once: a unit of letters or a mark ends with an id that ends a unit."""
+        found: list[np.ndarray] = []
+        for at in range(0, len(words), CALL_WORDS):
+            some = words[at : at + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.int32)
+            units = np.fromiter((1 + (w[-1] in b".,") for w in some), np.int64, len(some))
+            ends = np.flatnonzero(self.ends_unit[ids])
+            found += np.split(ids, ends[np.cumsum(units)[:-1] - 1] + 1) if len(ends) == units.sum() else self._one_by_one(some)
+        return found
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Take up new words by their sorted keys."""
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        coded = np.empty(len(words), object)
+        for mask, code in ((plain, self._together), (~plain, self._one_by_one)):
+            some = np.flatnonzero(mask)
+            for i, ids in zip(some.tolist(), code([words[i] for i in some]), strict=True):
+                coded[i] = ids
+        counts = np.fromiter(map(len, coded), np.int32, len(coded))
+        flat = np.concatenate(list(coded))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(counts, dtype=np.int64) - counts)
+        self.counts = np.insert(self.counts, at, counts)
+        self.used += len(flat)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each)."""
-        split = [x.split() for x in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = [w for x in split for w in x]
-        new = set(words).difference(self.place)
-        if len(new) + len(self.place) > self.limit:
+        whole = [i for i, x in enumerate(texts) if _WHOLE.search(x)]
+        if whole:
+            held = set(whole)
+            rest, counts = self.encode([b"" if i in held else x for i, x in enumerate(texts)])
+            parts = np.split(rest, np.cumsum(counts)[:-1])
+            for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i].decode() for i in whole], add_special_tokens=False), strict=True):
+                parts[i] = np.array(x.ids, np.int32)
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        data, begins, ends, hashes, offsets = word_spans(texts)
+        keys, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        new = ~np.isin(keys, self.keys, assume_unique=True)
+        if len(self.keys) + new.sum() > self.limit:
             self._clear()
-            new = set(words)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)
-        upto = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return self.ids[take], np.diff(upto, prepend=0)
+            new[:] = True
+        if new.any():
+            raw = data.tobytes().lower()
+            self._learn(keys[new], [raw[begins[i] : ends[i]] for i in first[new].tolist()])
+        at = np.searchsorted(self.keys, keys)
+        counts = self.counts[at][place].astype(np.int64)
+        upto = np.cumsum(counts)
+        take = np.repeat(self.starts[at][place] - (upto - counts), counts) + np.arange(int(upto[-1]) if len(upto) else 0)
+        return self.ids[take], np.diff(np.concatenate([[0], upto])[offsets])
 
 
 class TextEncoder:
@@ -112,6 +146,7 @@ _encoders: dict[tuple[int, bool], WordEncoder | TextEncoder] = {}
 
 def encoder(tokenizer_json: str, by_word: bool) -> WordEncoder | TextEncoder:
     """The worker's encoder; one is kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (hash(tokenizer_json), by_word)
     if key not in _encoders:
         _encoders.clear()
