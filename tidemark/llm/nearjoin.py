@@ -36,8 +36,8 @@ from .components import components
 from .shingles import mixed, shingle_sets
 
 LIGHT = 2
-#: An instance's signatures are dealt over so many ranges.
-SHARDS = 64
+#: An instance's signatures are dealt over so many ranges; a document gets at most as many links in each instance.
+SHARDS = 16
 #: Elements of sets in a block of a cluster; a pair of blocks is counted at once.
 BLOCK_ELEMENTS = 500_000
 #: Signatures that a worker holds before it links and forwards them.
