@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nearjoin, quality, tokens
+from . import linededup, mixing, nearjoin, ppm, quality, tokens
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -26,13 +26,29 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_quality_rules": op3_quality_rules, "op4_source_mix": op4_source_mix, "op10_token_orc": op10_token_orc}
+QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_source_mix": op4_source_mix,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_ppm_score": op9_ppm_score,
+    "op10_token_orc": op10_token_orc,
+}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -59,6 +75,15 @@ ORACLE_SQL = {
                AND 100 * (n_words - len(list_distinct(w))) <= 95 * n_words
                AND 100 * n_dup_lines <= 50 * n_lines AS kept
         FROM b""",
+    "op6_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, i, lines[i] AS line, lower_key FROM
+                   (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+                   LATERAL (SELECT translate(trim(lines[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key)),
+        f AS (SELECT lower_key FROM l WHERE lower_key <> '' GROUP BY lower_key HAVING count(DISTINCT doc_id) >= 10),
+        m AS (SELECT l.*, f.lower_key IS NOT NULL AS gone FROM l LEFT JOIN f USING (lower_key))
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op4_source_mix": rf"""
         WITH s AS (SELECT doc_id, source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), {WORD}))) AS BIGINT) AS size
                    FROM documents GROUP BY doc_id, source),
