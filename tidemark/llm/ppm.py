@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching over a byte-context trie.
 
 A context of up to ``order`` bytes predicts the next symbol (a byte of the lower-cased text, or the end) from what
-followed it; a symbol it hasn't seen costs an escape, estimated by the number of distinct symbols seen (method C), to
-the next shorter context, in which the symbols already ruled out are excluded; after order 0 the symbols left are
+followed it. A symbol seen n times weighs 2n - 1, leaving the context weighs the number of distinct symbols seen (escape
+method D); a symbol that a context hasn't seen costs such an escape to the next shorter context, in which the symbols already ruled out are excluded; after order 0 the symbols left are
 equally likely. Every count goes to all suffixes of a context, so that what a context has seen its suffixes have too.
 Hence what is excluded after an escape depends on one pair of contexts only, and the pretrained trie becomes two tables:
 log10 P of each (context, symbol), and the log10 weight of leaving each context.
@@ -23,6 +23,7 @@ empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +34,16 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import word_hashes
 
-ORDER = 4
+ORDER = 5
 END = 256
 SYMBOLS = 257
 _BITS = 9
-MOST_NODES = 4_000_000
+MOST_NODES = 3_000_000
 TOP_WORDS = 500_000
 #: Distinct grams or words that a worker counts before it hands them on.
 HELD = 1_500_000
-#: Cells of a dense child table; beyond, children are found by binary search.
-DENSE_CELLS = 40_000_000
+#: Cells of a dense child table (4 bytes each); larger ones are hashed.
+DENSE_CELLS = 8_000_000
 
 _LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
@@ -71,9 +72,9 @@ class Trie:
             if not follows:
                 continue
             distinct = len(follows) if len(follows) < SYMBOLS else 0
-            whole = sum(n for s, n in follows.items() if s not in excluded) + distinct
+            whole = sum(2 * n - 1 for s, n in follows.items() if s not in excluded) + distinct
             if symbol in follows:
-                return total + math.log10(follows[symbol] / whole)
+                return total + math.log10((2 * follows[symbol] - 1) / whole)
             total += math.log10(distinct / whole)
             excluded = set(follows)
         return total - math.log10(SYMBOLS - len(excluded))
@@ -166,10 +167,10 @@ class Tables:
             whole = (last >> (_BITS * (m - 1))) > 0  # a gram shorter than m ends nothing of length m
             k, place = np.unique(last[whole], return_inverse=True)
             self.keys.append(k)
-            counts.append(np.bincount(place, weights=sums[whole], minlength=len(k)))
+            counts.append(2 * np.bincount(place, weights=sums[whole], minlength=len(k)) - 1)
         self.log10: list[np.ndarray] = [np.zeros(1)]
         self.leave: list[np.ndarray] = []
-        total, distinct, left = [], [], []
+        total, distinct = [], []
         for m in range(order + 1):  # what follows each context of m symbols
             parent = np.searchsorted(self.keys[m], self.keys[m + 1] >> _BITS) if m else np.zeros(len(self.keys[1]), np.int64)
             n = np.bincount(parent, weights=counts[m + 1], minlength=len(self.keys[m]))
@@ -188,44 +189,73 @@ class Tables:
                     gone = np.bincount(parent, weights=counts[m][same], minlength=len(self.keys[m]))
                     before = total[m - 1][suffix] + distinct[m - 1][suffix]
                     self.leave.append(np.where(n > 0, escape + np.log10(before / (before - gone)), 0.0))
-        del left
 
     def _suffix(self, m: int) -> np.ndarray:
         """Places of the grams of m symbols without their first one, among those of m - 1."""
         return np.searchsorted(self.keys[m - 1], self.keys[m] & ((1 << (_BITS * (m - 1))) - 1)) if m > 1 else np.zeros(len(self.keys[1]), np.int64)
 
 
+class Slots:
+    """An open-addressing hash table from non-negative integers to 1, 2, ... in their order; 0 for what it doesn't have."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            at = self._slot(keys[left], step)
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.keys[at[taken]], self.values[at[taken]] = keys[left[taken]], left[taken] + 1
+            left, step = np.delete(left, taken), step + 1
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (((x >> np.uint64(64 - self.bits)).astype(np.int64)) + step) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys, 0)
+        there = self.keys[at]
+        found = np.where(there == keys, self.values[at], 0)
+        left, step = np.flatnonzero((there != keys) & (there >= 0)), 1
+        while len(left):
+            at = self._slot(keys[left], step)
+            there = self.keys[at]
+            same = there == keys[left]
+            found[left[same]] = self.values[at[same]]
+            left, step = left[~same & (there >= 0)], step + 1
+        return found
+
+
 class Scorer:
     """Scores many texts at once: ids of the grams that end at each symbol by child tables, then the tables' sums."""
 
     def __init__(self, tables: Tables):
         self.t = tables
-        present = (tables.keys[1] - 1).astype(np.int64)
+        present = tables.keys[1] - 1
         self.code = np.zeros(SYMBOLS, np.int64)  # 0: never seen
         self.code[present] = np.arange(1, len(present) + 1)
         self.width = len(present) + 1
-        self.child: list[np.ndarray | None] = [None, None]
+        self.child: list = [None, None]
         for m in range(2, tables.order + 2):
+            parent = np.searchsorted(tables.keys[m - 1], tables.keys[m] >> _BITS) + 1
+            cell = parent * self.width + self.code[(tables.keys[m] & 511) - 1]
             cells = (len(tables.keys[m - 1]) + 1) * self.width
             if cells > DENSE_CELLS:
-                self.child.append(None)
-                continue
-            table = np.zeros(cells, np.int32)
-            parent = np.searchsorted(tables.keys[m - 1], tables.keys[m] >> _BITS) + 1
-            table[parent * self.width + self.code[(tables.keys[m] & 511) - 1]] = np.arange(1, len(tables.keys[m]) + 1)
-            self.child.append(table)
+                self.child.append(Slots(cell))
+            else:
+                self.child.append(np.zeros(cells, np.int32))
+                self.child[m][cell] = np.arange(1, len(cell) + 1)
         # id 0 stands for what the trie doesn't have
         self.log10 = [np.concatenate([[0.0], x]) for x in tables.log10]
         self.leave = [np.concatenate([[0.0], x]) for x in tables.leave]
 
-    def _extend(self, m: int, before: np.ndarray, code: np.ndarray, data: np.ndarray) -> np.ndarray:
+    def _extend(self, m: int, before: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Ids of the grams of m symbols, given those of the m - 1 symbols before."""
-        if self.child[m] is not None:
-            return self.child[m][before * self.width + code]
-        keys = self.t.keys[m]
-        wanted = np.where(before > 0, (self.t.keys[m - 1][before - 1] << _BITS) + data + 1, 0)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((before > 0) & (keys[at] == wanted), at + 1, 0)
+        cell = before * self.width + code
+        table = self.child[m]
+        return table.find(cell) if isinstance(table, Slots) else table[cell]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 P of each text and its end."""
@@ -236,7 +266,7 @@ class Scorer:
         ids, before = [None, code.astype(np.int32)], []
         for m in range(1, self.t.order + 2):
             if m > 1:
-                ids.append(self._extend(m, before[m - 1], code, data))
+                ids.append(self._extend(m, before[m - 1], code))
             if m <= self.t.order:
                 context = np.empty(len(data), np.int32)
                 context[0], context[1:] = 0, ids[m][:-1]
@@ -278,7 +308,7 @@ def trained(counts: DataFrame, order: int, most_nodes: int = MOST_NODES) -> tupl
     return found.column("key").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -304,16 +334,16 @@ def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int = MOST_NODES,
         least, some = r["step"], some + r["words"]
     frequent = F.lit(False) if least is None else F.floor(F.log2("n") * 8) >= least
     top = words.filter(frequent).orderBy("word").toArrow()
-    grams_, sums = trained(counts, order, most_nodes)
+    tables = Tables(order, *trained(counts, order, most_nodes))
     whole = n_tokens + 0.5 * (n_distinct + 1)
-    model = spark.sparkContext.broadcast((order, grams_, sums, top.column("word").to_numpy(), top.column("n").to_numpy()))
-    number = id(model)
+    model = spark.sparkContext.broadcast((tables, top.column("word").to_numpy(), top.column("n").to_numpy()))
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, keys, sums, known, known_n = model.value
+        tables, known, known_n = model.value
         if number not in _scorers:
             _scorers.clear()
-            _scorers[number] = Scorer(Tables(order, keys, sums))
+            _scorers[number] = Scorer(tables)
         scorer = _scorers[number]
         points = np.log10((known_n + 0.5) / whole)
         end = math.log10((n_texts + 0.5) / whole)
