@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, nearjoin, ppm, quality, tokens
+from . import chat, linededup, mixing, nearjoin, ppm, quality, tokens, toxicity
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -26,11 +28,26 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_CHAT = {"messages": [{"role": "user", "content": r"\### Assistant: </turn> ok"}, {"role": "assistant", "content": r"\### Assistant: </turn> ok"}]}
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.from_table(table(spark, sf_dir, "conversations"))
+    record = spark.range(1).select(F.lit(-7).cast(chats.schema["conv_id"].dataType).alias("conv_id"), F.lit(json.dumps(CONTROL_CHAT)).alias("payload"))
+    chats = chats.unionByName(chat.from_json(record, "payload").select("conv_id", "turns"))
+    return chat.digests(chat.formatted(chats))
+
+
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
@@ -45,7 +62,9 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mix": op4_source_mix,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op8_chat_format": op8_chat_format,
     "op9_ppm_score": op9_ppm_score,
     "op10_token_orc": op10_token_orc,
 }
@@ -84,6 +103,15 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op8_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>') AS t,
+                     replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ': ', ':\ ') AS r FROM c),
+        a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS spoken,
+                     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                     CAST(sum(length('### ' || r || ': ' || t || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a""",
     "op4_source_mix": rf"""
         WITH s AS (SELECT doc_id, source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), {WORD}))) AS BIGINT) AS size
                    FROM documents GROUP BY doc_id, source),
