@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, nearjoin, ppm, quality, tokens, toxicity
+from . import chat, decontaminate, linededup, mixing, nearjoin, ppm, quality, tokens, toxicity
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = {"messages": [{"role": "user", "content": r"\### Assistant: </turn> ok"}, {"role": "assistant", "content": r"\### Assistant: </turn> ok"}]}
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lsa_decontaminate": op7_lsa_decontaminate,
     "op8_chat_format": op8_chat_format,
     "op9_ppm_score": op9_ppm_score,
     "op10_token_orc": op10_token_orc,

@@ -14,6 +14,8 @@ _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # lower-cases A
 _R = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Everything but ASCII letters and digits and what isn't ASCII.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _MULT = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -39,10 +41,13 @@ def _power(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all texts, first and end places of their words in them, hashes of the lower-cased words, offsets of the texts among the words)."""
+def word_spans(texts: list[bytes], blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, first and end places of their words in them, hashes of the lower-cased words, offsets of the texts among the words).
+
+    ``blanks`` tells for each byte whether it separates words; a line feed must.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = _BLANK[data]
+    blank = blanks[data]
     inner = ~blank
     begins = np.flatnonzero(inner & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(blank & np.concatenate([[False], inner[:-1]]))
