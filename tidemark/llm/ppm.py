@@ -41,7 +41,9 @@ _BITS = 9
 MOST_NODES = 3_000_000
 TOP_WORDS = 500_000
 #: Distinct grams or words that a worker counts before it hands them on.
-HELD = 1_500_000
+HELD = 800_000
+#: Bytes of text in hand at once; a symbol takes some 100 bytes while it is scored.
+COUNTED_BYTES, SCORED_BYTES = 1_000_000, 500_000
 #: Cells of a dense child table (4 bytes each); larger ones are hashed.
 DENSE_CELLS = 8_000_000
 
@@ -138,7 +140,7 @@ def corpus_counts(training: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counts(GRAM), Counts(WORD), Counts(TEXT)]
-        for _, texts in common.text_slices(batches, "doc_id"):
+        for _, texts in common.text_slices(batches, "doc_id", most=COUNTED_BYTES):
             counts[GRAM].add(grams(texts, order))
             counts[WORD].add(word_hashes(texts)[0].view(np.int64))
             counts[TEXT].add(np.zeros(len(texts), np.int64))
@@ -156,7 +158,10 @@ def corpus_counts(training: DataFrame, order: int) -> DataFrame:
 
 
 class Tables:
-    """The trie by gram length m: sorted keys, log10 P of the last symbol after the others, log10 weight of leaving the gram as a context."""
+    """The trie by gram length m: sorted keys, log10 P of the last symbol after the others, log10 weight of leaving the gram as a context.
+
+    Gram i of a length has id i + 1; what the two tables say of id 0, which stands for what the trie doesn't have, is 0.
+    """
 
     def __init__(self, order: int, keys: np.ndarray, sums: np.ndarray):
         self.order = order
@@ -190,6 +195,9 @@ class Tables:
                     before = total[m - 1][suffix] + distinct[m - 1][suffix]
                     self.leave.append(np.where(n > 0, escape + np.log10(before / (before - gone)), 0.0))
 
+        self.log10 = [np.concatenate([[0.0], x]) for x in self.log10]
+        self.leave = [np.concatenate([[0.0], x]) for x in self.leave]
+
     def _suffix(self, m: int) -> np.ndarray:
         """Places of the grams of m symbols without their first one, among those of m - 1."""
         return np.searchsorted(self.keys[m - 1], self.keys[m] & ((1 << (_BITS * (m - 1))) - 1)) if m > 1 else np.zeros(len(self.keys[1]), np.int64)
@@ -247,9 +255,7 @@ class Scorer:
             else:
                 self.child.append(np.zeros(cells, np.int32))
                 self.child[m][cell] = np.arange(1, len(cell) + 1)
-        # id 0 stands for what the trie doesn't have
-        self.log10 = [np.concatenate([[0.0], x]) for x in tables.log10]
-        self.leave = [np.concatenate([[0.0], x]) for x in tables.leave]
+        self.log10, self.leave = tables.log10, tables.leave
 
     def _extend(self, m: int, before: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Ids of the grams of m symbols, given those of the m - 1 symbols before."""
@@ -261,7 +267,7 @@ class Scorer:
         """log10 P of each text and its end."""
         data, ends = symbols(texts)
         if not len(self.t.keys[1]):
-            return np.diff(np.concatenate([[-1], ends])) * self.t.leave[0][0]
+            return np.diff(np.concatenate([[-1], ends])) * self.t.leave[0][1]
         code = self.code[data]
         ids, before = [None, code.astype(np.int32)], []
         for m in range(1, self.t.order + 2):
@@ -349,7 +355,7 @@ def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int = MOST_NODES,
         end = math.log10((n_texts + 0.5) / whole)
         for batch in batches:
             at = 0
-            for ids, texts in common.text_slices([batch], "doc_id"):
+            for ids, texts in common.text_slices([batch], "doc_id", most=SCORED_BYTES):
                 hashes, offsets = word_hashes(texts)
                 value, place = np.unique(hashes.view(np.int64), return_inverse=True)
                 spot = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
