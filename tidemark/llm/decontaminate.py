@@ -9,7 +9,9 @@ sought among the narrow or the wide ones by its length, a long item by its parts
 2. Blocks that have a term are counted over all documents: inverse document frequencies.
 3. Randomised SVD of the TF-IDF matrix A of all wide passages: workers add up A'(A G) for a Gaussian G, sums meet by
    term, and the driver gets the (terms x rank) sketch, whose Nystroem form gives the leading singular vectors.
-4. Every passage is projected; those whose cosine with an item reaches ``LEAST_COSINE`` are candidates.
+4. Every passage is projected; its score with an item is their cosine among the singular vectors times the share of the
+   passage's length that lies in the term space, where a token that is no term counts ``OTHER`` of a mean term. Passages
+   that reach ``LEAST_COSINE`` are candidates.
 5. A candidate's neighbourhood in the text is compared with the item word by word: it is contaminated where the longest
    common subsequence holds ``SURE`` of the item's words, or ``LIKELY`` of them and the answer (the item's last sentence)
    almost whole.
@@ -38,8 +40,9 @@ BLOCK, NARROW, WIDE = 16, 2, 4
 #: Items of up to so many tokens are sought among narrow passages; longer ones in parts of PART tokens among wide ones.
 SHORT, PART = 32, 64
 STOP_SHARE, KEPT_TERMS = 0.05, 4
-RANK, SPARE = 96, 16
-LEAST_COSINE = 0.42
+RANK, SPARE = 64, 8
+LEAST_COSINE = 0.35
+OTHER = 0.5
 SURE, LIKELY, ANSWER = 0.75, 0.55, 0.8
 MOST_ITEMS = 200_000
 #: Up to so many candidates their ids and places (16 bytes each) are broadcast to pick texts; beyond, texts are joined.
@@ -70,7 +73,7 @@ def _answer(text: bytes) -> bytes:
 
 
 def read_benchmark(items: DataFrame) -> Benchmark:
-    rows = items.select("item_id", "text").filter("text IS NOT NULL").orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()
+    rows = items.select("item_id", F.lower("text").alias("text")).filter("text IS NOT NULL").orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"the benchmark has more than {MOST_ITEMS} items: split it")
     texts = [r["text"].encode() for r in rows]
@@ -101,7 +104,7 @@ def _places(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def found_terms(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(doc_id, at, term): places among a document's tokens of the benchmark's terms. Stored."""
+    """(doc_id, at, term, tokens): places among a document's tokens of the benchmark's terms, and their number. Stored."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -113,9 +116,9 @@ def found_terms(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             inside = hit - np.repeat(offsets[:-1], np.diff(cuts))
             ends = pa.array(cuts, pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (inside, term)]
-            yield pa.RecordBatch.from_arrays([ids, *lists], names=["doc_id", "at", "term"])
+            yield pa.RecordBatch.from_arrays([ids, *lists, pa.array(np.diff(offsets))], names=["doc_id", "at", "term", "tokens"])
 
-    return common.stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, at array<int>, term array<int>"), "benchmark-terms")
+    return common.stored(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, f"doc_id {kind}, at array<int>, term array<int>, tokens long"), "benchmark-terms")
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,12 +131,10 @@ def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 _ROW = 1 << 32
 
 
-def _cells(key: np.ndarray, term: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, term) in order, and how often each occurs."""
-    _, place = np.unique(key, return_inverse=True)
-    names = np.unique(key)
-    cell, times = np.unique(place * n_terms + term, return_counts=True)
-    return names[cell // n_terms], cell % n_terms, times
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values of a sorted array, number among them of each entry)."""
+    head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    return key[head], np.cumsum(head) - 1
 
 
 def frequencies(found: DataFrame, n_terms: int) -> np.ndarray:
@@ -143,9 +144,9 @@ def frequencies(found: DataFrame, n_terms: int) -> np.ndarray:
         total = np.zeros(n_terms + 1, np.int64)
         for batch in batches:
             row, block, term = _entries(batch)
-            key, term, _ = _cells(row * _ROW + block, term, n_terms)
-            total[:n_terms] += np.bincount(term, minlength=n_terms)
-            total[n_terms] += len(np.unique(key))
+            blocks, number = _numbered(row * _ROW + block)
+            total[:n_terms] += np.bincount(np.unique(number * n_terms + term) % n_terms, minlength=n_terms)
+            total[n_terms] += len(blocks)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "n"])
 
     sums = found.select("at", "term").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -154,21 +155,24 @@ def frequencies(found: DataFrame, n_terms: int) -> np.ndarray:
     return np.log((1 + count[n_terms]) / (1 + count[:n_terms])) + 1
 
 
-def _windows(row: np.ndarray, block: np.ndarray, term: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each occurrence once for each passage of ``width`` blocks it is in: (row and passage, term). Passage p starts at block p * width / 2."""
-    step = width // 2
-    last = block // step
-    twice = last > 0
-    return np.concatenate([row * _ROW + last, (row * _ROW + last - 1)[twice]]), np.concatenate([term, term[twice]])
+def _windows(row: np.ndarray, block: np.ndarray, term: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passages, number of the passage and term of each occurrence in one). Passage p of ``width`` blocks starts at block p * width / 2."""
+    halves, number = _numbered(row * _ROW + block // (width // 2))
+    inner = halves % _ROW > 0
+    passages = np.unique(np.concatenate([halves, halves[inner] - 1]))
+    own, before = np.searchsorted(passages, halves)[number], np.searchsorted(passages, halves - 1)[number]
+    twice = inner[number]
+    return passages, np.concatenate([own, before[twice]]), np.concatenate([term, term[twice]])
 
 
-def _weighted(key: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF rows of length 1: (passages, first entry of each, terms, values)."""
-    key, term, times = _cells(key, term, len(idf))
+def _weighted(number: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF rows of length 1: (first entry of each, terms, values, length before, occurrences). Every row has an entry."""
+    cell, times = np.unique(number * len(idf) + term, return_counts=True)
+    row, term = cell // len(idf), cell % len(idf)
     value = (1 + np.log(times)) * idf[term]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
     norm = np.sqrt(np.add.reduceat(value**2, first)) if len(first) else np.zeros(0)
-    return key[first], first, term, value / np.repeat(norm, np.diff(np.append(first, len(key))))
+    return first, term, value / np.repeat(norm, np.diff(np.append(first, len(row)))), norm, np.add.reduceat(times, first) if len(first) else first
 
 
 def _projected(first: np.ndarray, term: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -186,7 +190,7 @@ def _gaussian(n_terms: int, seed: int) -> np.ndarray:
 
 
 def singular_vectors(found: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
-    """(terms x rank): leading right singular vectors of the TF-IDF matrix of all wide passages."""
+    """(terms x rank): leading right singular vectors of the TF-IDF matrix of all wide passages, over their singular values."""
     n_terms = len(idf)
     shared = found.sparkSession.sparkContext.broadcast(idf)
 
@@ -195,7 +199,7 @@ def singular_vectors(found: DataFrame, idf: np.ndarray, seed: int = 5) -> np.nda
         total = np.zeros(gauss.shape, np.float32)
         for batch in batches:
             row, block, term = _entries(batch)
-            _, first, term, value = _weighted(*_windows(row, block, term, WIDE), shared.value)
+            first, term, value, _, _ = _weighted(*_windows(row, block, term, WIDE)[1:], shared.value)
             rows = _projected(first, term, value, gauss)
             owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term))))
             for a in range(0, len(term), 100_000):
@@ -222,7 +226,7 @@ def singular_vectors(found: DataFrame, idf: np.ndarray, seed: int = 5) -> np.nda
     if not good.any():
         return np.zeros((n_terms, 0), np.float32)
     left, size, _ = np.linalg.svd(sketch @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return left[:, :RANK].astype(np.float32)
+    return (left[:, :RANK] / size[:RANK]).astype(np.float32)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -236,32 +240,38 @@ def candidates(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.nd
         parts = [(i, t) for i, t, w in bench.parts if w == wide]
         key = np.concatenate([np.full(len(t), n) for n, (_, t) in enumerate(parts)] or [np.zeros(0, np.int64)])
         hit, term = _places(bench.terms, np.concatenate([t for _, t in parts] or [np.zeros(0, np.uint64)])) if len(bench.terms) else (np.zeros(0, np.int64),) * 2
-        names, first, term, value = _weighted(key[hit].astype(np.int64), term, idf)
+        names, number = _numbered(key[hit].astype(np.int64))
+        first, term, value, _, _ = _weighted(number, term, idf)
         queries[wide] = (np.array([parts[n][0] for n in names], np.int64), _unit(_projected(first, term, value, basis)))
     shared = found.sparkSession.sparkContext.broadcast((idf, basis, queries))
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis, queries = shared.value
+        other = OTHER * idf.mean() ** 2
         for batch in batches:
             row, block, term = _entries(batch)
+            tokens = batch.column(3).to_numpy(zero_copy_only=False)
             for wide, width in ((False, NARROW), (True, WIDE)):
                 items, wanted = queries[wide]
-                if not len(items) or not len(term):
+                if not len(items) or not len(term) or not basis.shape[1]:
                     continue
-                key, first, terms, value = _weighted(*_windows(row, block, term, width), idf)
+                key, number, terms = _windows(row, block, term, width)
+                first, terms, value, norm, times = _weighted(number, terms, idf)
+                inside = np.minimum(width * BLOCK, tokens[key // _ROW] - (key % _ROW) * (width // 2) * BLOCK)
+                share = norm / np.sqrt(norm**2 + other * np.maximum(inside - times, 0))
                 for a in range(0, len(key), 65536):
                     b = min(a + 65536, len(key))
                     end = first[b] if b < len(first) else len(terms)
                     some = slice(first[a], end)
-                    near = _unit(_projected(first[a:b] - first[a], terms[some], value[some], basis)) @ wanted.T
+                    near = (_unit(_projected(first[a:b] - first[a], terms[some], value[some], basis)) * share[a:b, None].astype(np.float32)) @ wanted.T
                     p, q = np.nonzero(near >= least)
                     place = (key[a:b][p] % _ROW) * (width // 2) * BLOCK
                     columns = [batch.column(0).take(pa.array(key[a:b][p] // _ROW)), pa.array(items[q]), pa.array(place), pa.array(np.full(len(p), width * BLOCK)), pa.array(near[p, q].astype(np.float64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item", "place", "width", "cosine"])
 
     schema = f"doc_id {kind}, item long, place long, width long, cosine double"
-    return common.stored(found.select("doc_id", "at", "term").mapInArrow(run, schema), "leak-candidates")
+    return common.stored(found.select("doc_id", "at", "term", "tokens").mapInArrow(run, schema), "leak-candidates")
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -283,7 +293,7 @@ def confirmed(docs: DataFrame, found: DataFrame, bench: Benchmark) -> DataFrame:
     by_doc = found.groupBy(F.col("doc_id").alias("_of")).agg(near.alias("near"))
     if found.count() <= MOST_BROADCAST:
         by_doc = F.broadcast(by_doc)
-    rows = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_of"))).select("doc_id", "text", "near")
+    rows = docs.select("doc_id", F.lower("text").alias("text")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_of"))).select("doc_id", "text", "near")
     shared = docs.sparkSession.sparkContext.broadcast((bench.tokens, bench.answers))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
