@@ -113,3 +113,15 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             last = values[begin]
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Up to so many ids are broadcast to drop documents by them (some 50 bytes each in memory); more are joined by shuffle.
+MOST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among ``ids`` (one column, doc_id), which are few enough to broadcast or joined."""
+    gone = stored(ids.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-ids")
+    if gone.count() <= MOST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -339,6 +339,5 @@ def leaks(docs: DataFrame, items: DataFrame, *, least_cosine: float = LEAST_COSI
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    bad = leaks(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that hold no benchmark item; those without an id stay."""
+    return common.without(docs, leaks(docs, items, **options).select("doc_id"))
