@@ -74,7 +74,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, *, ridge: float = 1e-6, rounds: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, *, ridge: float = 1e-4, rounds: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of a cumulative-link model by gradient steps with momentum (Adam) on the whole sample, equal rows taken together."""
     rows, times = np.unique(np.column_stack([x, grades]), axis=0, return_counts=True)
     x, grades, share, d = rows[:, :-1], rows[:, -1].astype(np.int64), times / times.sum(), x.shape[1]
