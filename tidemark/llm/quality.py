@@ -23,7 +23,7 @@ WINDOW = 5
 SAMPLE_ROWS = 1000
 
 
-def _covered(grams: Column, n: Column) -> Column:
+def _covered(grams: Column) -> Column:
     """Words inside the windows whose hash occurs twice or more."""
 
     def of_pairs(pairs: Column) -> Column:
@@ -60,7 +60,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         common.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        common.let(grams, lambda g: _covered(g, F.size(w))).alias("n_repeat_words"),
+        common.let(grams, _covered).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
@@ -74,9 +74,10 @@ def _share_at_most(part: Column, whole: Column, percent: int) -> Column:
 RULES: dict[str, Callable[[Column, Column], Column]] = {
     "mean_word_length": lambda t, w: F.char_length(F.array_join(w, "")).between(2 * F.size(w), 20 * F.size(w)),
     "symbols": lambda t, w: _share_at_most(F.char_length(t) - F.char_length(F.regexp_replace(t, r"[#*$%&|<>]", "")), F.size(w), 10),
-    "digits": lambda t, w: _share_at_most(F.char_length(t) - F.char_length(F.regexp_replace(t, r"[0-9]", "")), F.char_length(t), 20),
-    "letters": lambda t, w: _share_at_most(F.char_length(F.regexp_replace(t, r"[\p{L}\p{M}\s]+", "")), F.char_length(t), 40),
+    "digits": lambda t, w: _share_at_most(F.char_length(t) - F.char_length(F.regexp_replace(t, r"[0-9]", "")), F.char_length(t), 35),
+    "letters": lambda t, w: _share_at_most(F.char_length(F.regexp_replace(t, r"[\p{L}\p{M}\s]+", "")), F.char_length(t), 55),
     "distinct_words": lambda t, w: _share_at_most(F.size(w) - F.size(F.array_distinct(w)), F.size(w), 95),
+    "stutter": lambda t, w: _share_at_most(F.size(F.filter(w, lambda x, i: (i > 0) & (x == w[F.greatest(i - 1, F.lit(0))]))), F.size(w), 30),
     "duplicate_lines": lambda t, w: common.let(
         F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(common.BLANKS)) != ""),
         lambda x: _share_at_most(F.size(x) - F.size(F.array_distinct(x)), F.size(x), 50),

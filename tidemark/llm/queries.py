@@ -99,9 +99,10 @@ ORACLE_SQL = {
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND 100 * n_symbols <= 10 * n_words
-               AND 100 * (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) <= 20 * length(t)
-               AND 100 * length(regexp_replace(t, '[\p{{L}}\p{{M}}\s\x0B]+', '', 'g')) <= 40 * length(t)
+               AND 100 * (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) <= 35 * length(t)
+               AND 100 * length(regexp_replace(t, '[\p{{L}}\p{{M}}\s\x0B]+', '', 'g')) <= 55 * length(t)
                AND 100 * (n_words - len(list_distinct(w))) <= 95 * n_words
+               AND 100 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) <= 30 * n_words
                AND 100 * n_dup_lines <= 50 * n_lines AS kept
         FROM b""",
     "op6_line_dedup": rf"""
