@@ -4,8 +4,8 @@ Set sizes fall into bands whose ends are a factor 1/threshold apart, so that sim
 neighbouring ones; instance i holds bands i-1 and i. Similar sets of an instance differ in at most k elements. The
 feature domain is partitioned into n1 parts, each into n2 sub-parts; with n1 * (k2 + 1) > k some part differs in at most
 k2 elements, so one of the subsets of n2 - k2 of its sub-parts has equal content in both sets: each subset's content is
-hashed to a signature, and similar sets share one. ``spare`` extra parts let signatures of fewer than LIGHT elements be
-left out where a set has few of them, which keeps chance collisions rare without losing a pair.
+hashed to a signature, and similar sets share one. ``spare`` extra parts let signatures of fewer than LIGHT elements
+(empty ones) be left out where a set has few parts with any, which keeps chance meetings rare without losing a pair.
 
 Steps: one pass fingerprints the sets; a second one hashes them to signatures, links documents that share one inside a
 batch and forwards one document for each signature; the signatures meet by instance and hash range and are linked
@@ -35,7 +35,7 @@ from . import common
 from .components import components
 from .shingles import mixed, shingle_sets
 
-LIGHT = 2
+LIGHT = 1
 #: An instance's signatures are dealt over so many ranges; a document gets at most as many links in each instance.
 SHARDS = 16
 #: Elements of sets in a block of a cluster; a pair of blocks is counted at once.
@@ -343,7 +343,9 @@ def near_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     sets = set_table(docs, words)
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = common.stored(known.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    members = clusters(candidate_links(docs, words, percent), classes)
+    candidates = candidate_links(docs, words, percent)
+    common.tidy(docs.sparkSession)
+    members = clusters(candidates, classes)
     true = components(_verified(docs, members, words, percent))
     linked = F.coalesce("component", "class_id").alias("component_id")
     classes = classes.join(true, F.col("class_id") == F.col("node"), "left").select("fa", "fb", "n", "class_id", linked)
