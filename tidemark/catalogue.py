@@ -292,3 +292,41 @@ _add("compact_equivalence", compact_equivalence, f"WITH p AS ({_store_points}),
 _add("delete_field", delete_field, f"WITH p AS ({_store_points}), a AS (SELECT min(ms) AS a FROM p) SELECT a + ((ms - a) // {DAY}) * {DAY} AS ts_ms, CAST(sum(CAST(value > 50 AS INT)) AS BIGINT) AS high FROM p, a GROUP BY 1")
 _add("delete_measurement", delete_measurement, f"SELECT {EVENT_MS} AS ts_ms FROM events WHERE false")
 _add("reinsert", reinsert, f"SELECT {EVENT_MS} AS ts_ms, arg_max(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
+
+
+def store_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left once the oldest records have gone from a store that is two thirds full."""
+    store = _filled(spark, sf_dir)
+    store.capacity = store.records().agg(F.sum("bytes")).first()[0] * 3 // 2
+    store.expire(0.5, 0.05)
+    return store.timestamp_range("events")
+
+
+_rows = f"SELECT {EVENT_MS} AS ms, event_type, event_id, value, value > 50 AS high, (event_id % 2, event_id) AS seq FROM events"
+_key = "md5('events:event_type:' || event_type || ':{}')"
+_add(
+    "store_raw",
+    lambda s, d: _filled(s, d).query(Query("events")),
+    f"SELECT ms AS ts_ms, arg_max(value, ({_key.format('value')}, seq)) AS value, arg_max(high, ({_key.format('high')}, seq)) AS high FROM ({_rows}) GROUP BY ms",
+)
+_add(
+    "store_tag_limit",
+    lambda s, d: _filled(s, d).query(Query("events", tags=(("event_type", "click"),), fields=("high",), limit=200)),
+    f"SELECT ms AS ts_ms, arg_max(high, seq) AS high FROM ({_rows}) WHERE event_type = 'click' GROUP BY ms ORDER BY ms LIMIT 200",
+)
+_add("store_query_string", lambda s, d: _filled(s, d).query_string("count:events(value){event_type:view}", rollup_interval=DAY, start_ms=FROM), f"WITH p AS (SELECT DISTINCT ms FROM ({_rows}) WHERE event_type = 'view' AND ms >= {FROM}), a AS (SELECT min(ms) AS a FROM p) SELECT a + ((ms - a) // {DAY}) * {DAY} AS ts_ms, count(*) AS value FROM p, a GROUP BY 1")
+_add("store_list_measurements", lambda s, d: _filled(s, d).measurements(), "SELECT 'events' AS measurement")
+_add("store_list_fields", lambda s, d: _filled(s, d).fields("events"), "SELECT * FROM (VALUES ('value'), ('high')) AS t(field)")
+_add("store_list_tags", lambda s, d: _filled(s, d).tags("events"), "SELECT DISTINCT 'event_type' AS key, event_type AS value FROM events")
+_add("store_timestamp_range", lambda s, d: _filled(s, d).timestamp_range("events"), f"SELECT min(ms) AS min_ms, max(ms) AS max_ms, 2 * count(*) AS points FROM ({_rows})")
+_add(
+    "store_expire",
+    store_expire,
+    f"""WITH r AS ({_rows}), f AS (SELECT *, 'value' AS field, {_key.format("value")} AS series FROM r UNION ALL SELECT *, 'high', {_key.format("high")} FROM r),
+        g AS (SELECT field, series, event_id % 2 + 1 AS batch, min(ms) AS start, CAST(45 + 16 * count(*) AS BIGINT) AS bytes FROM f GROUP BY ALL),
+        t AS (SELECT (sum(bytes) * 3 // 2) * 0.05 AS target FROM g),
+        o AS (SELECT *, batch || ':' || series AS id FROM g ORDER BY start, id LIMIT 25),
+        c AS (SELECT *, sum(bytes) OVER (ORDER BY start, id) - bytes AS before FROM o),
+        kept AS (SELECT DISTINCT f.series, f.ms FROM f LEFT JOIN (SELECT * FROM c, t WHERE before < target) AS x ON f.series = x.series AND f.event_id % 2 + 1 = x.batch WHERE x.series IS NULL)
+        SELECT min(ms) AS min_ms, max(ms) AS max_ms, count(*) AS points FROM kept""",
+)

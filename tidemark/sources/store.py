@@ -278,6 +278,9 @@ class Store:
             for name in self.files.names(folder):
                 if f"{folder}/{name}" not in live:
                     self.files.delete(f"{folder}/{name}")
+        for name in self.files.names("_manifest"):
+            if name != f"v{manifest.version}.json":
+                self.files.delete(f"_manifest/{name}")
 
     def clear_all(self) -> bool:
         """Delete everything."""
