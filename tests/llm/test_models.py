@@ -72,6 +72,19 @@ def test_bounded_model_and_adaptive(make):
     assert (r["n_known"], r["train_tokens"]) == (0, 0) and r["score"] == pytest.approx(-3 * math.log10(257))
 
 
+def test_pieces(make, monkeypatch):
+    rows = prose(4, 20) + [(77, "ab ba nan " * 50)]
+    whole = {r["doc_id"]: (r["base_score"], r["score"]) for r in ppm.score(make(rows)).collect()}
+    texts = [t.encode() for _, t in rows]
+    keys = np.sort(np.concatenate([*ppm.grams(texts, 4)]))
+    tables = ppm.Tables(4, *np.unique(keys, return_counts=True))
+    scores = ppm.Scorer(tables).scores(texts)
+    monkeypatch.setattr(ppm, "PIECE", 7)
+    assert (np.sort(np.concatenate([*ppm.grams(texts, 4)])) == keys).all()
+    assert ppm.Scorer(tables).scores(texts) == pytest.approx(scores)
+    assert len(whole) == len(rows)
+
+
 def test_slots():
     keys = np.unique(np.random.default_rng(1).integers(0, 10**6, 5000))
     table = ppm.Slots(keys)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import nearjoin
+from tidemark.llm import shingles as shingles_module
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_sets, word_hashes
 
@@ -67,6 +68,7 @@ def test_equals_brute_force(make):
 
 def test_five_words_eighty_percent_in_blocks(make, monkeypatch):
     monkeypatch.setattr(nearjoin, "BLOCK_ELEMENTS", 300)
+    monkeypatch.setattr(nearjoin, "BLOCK_DOCS", 3)
     monkeypatch.setattr(nearjoin, "MOST_BROADCAST", 0)
     check(make, corpus(2), 5, 80)
 
@@ -112,6 +114,14 @@ def test_words_and_shingles():
     assert np.diff(offsets).tolist() == [len(shingles(t.decode(), 4)) for t in texts]
 
 
+def test_words_by_pieces(monkeypatch):
+    texts = [b"some words of \t several lengths", b"", b"x" * 50 + b" y", b" "]
+    whole = shingles_module.word_spans(texts)
+    monkeypatch.setattr(shingles_module, "PIECE", 5)
+    for a, b in zip(whole, shingles_module.word_spans(texts), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(100, 130)] + [(500, 400), (600, 500), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}

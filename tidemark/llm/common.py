@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,8 +43,10 @@ def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when their objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of is free in the JVM a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

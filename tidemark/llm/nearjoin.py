@@ -9,9 +9,10 @@ hashed to a signature, and similar sets share one. ``spare`` extra parts let sig
 
 Steps: one pass fingerprints the sets; a second one hashes them to signatures, links documents that share one inside a
 batch and forwards one document for each signature; the signatures meet by instance and hash range and are linked
-there; components of these candidate links, within an instance, are clusters; all pairs of a cluster are counted
-exactly, in blocks of bounded size; and the components of the true links, with the classes of equal sets put back, are
-the result. Candidates only cost time:
+there; components of these candidate links, within an instance, are clusters. A cluster falls into parts by its sets'
+shapes: how many elements they have in each of CELLS cells of the domain. Shapes differ by no more than the sets do, so
+pairs whose shapes differ too much aren't similar. All pairs of a part are counted exactly. Both are done in blocks of
+bounded size. The components of the true links, with the classes of equal sets put back, are the result. Candidates only cost time:
 whatever shares no signature is not similar, whatever is not similar fails the exact count.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; equal sets are
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,7 +39,9 @@ from .shingles import mixed, shingle_sets
 LIGHT = 1
 #: An instance's signatures are dealt over so many ranges; a document gets at most as many links in each instance.
 SHARDS = 16
-#: Elements of sets in a block of a cluster; a pair of blocks is counted at once.
+#: Cells of a shape, 2 bytes each; documents in a block of a cluster, whose shapes are compared at once.
+CELLS, BLOCK_DOCS = 64, 4096
+#: Elements of sets in a block of a part; a pair of blocks is counted at once.
 BLOCK_ELEMENTS = 500_000
 #: Signatures that a worker holds before it links and forwards them.
 HELD = 1_500_000
@@ -166,16 +169,24 @@ def _fingerprints(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return tuple(np.where(full, x, np.uint64(0)).view(np.int64) for x in sums)
 
 
+def _shapes(codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Numbers of each set's elements in the cells (equal ranges of codes), at most 32767, as 16-bit integers."""
+    n = len(offsets) - 1
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * CELLS + (codes >> np.uint64(32)).astype(np.int64) * CELLS // 2**32
+    counts = np.minimum(np.bincount(cell, minlength=n * CELLS), 32767).astype("<i2")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * CELLS).astype(np.int32)), pa.py_buffer(counts)])
+
+
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, fa, fb): size and fingerprint of each row's set."""
+    """(doc_id, n, fa, fb, shape): size, fingerprint and shape of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.text_slices(batches, "doc_id"):
             codes, offsets = shingle_sets(texts, words)
             fa, fb = _fingerprints(codes, offsets)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(fa), pa.array(fb)], names=["doc_id", "n", "fa", "fb"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(fa), pa.array(fb), _shapes(codes, offsets)], names=["doc_id", "n", "fa", "fb", "shape"])
 
-    return common.stored(_texts(docs).mapInArrow(run, "doc_id long, n long, fa long, fb long"), "sets")
+    return common.stored(_texts(docs).mapInArrow(run, "doc_id long, n long, fa long, fb long, shape binary"), "sets")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -281,24 +292,67 @@ def _links_of(ids: np.ndarray, codes: np.ndarray, offsets: np.ndarray, side: np.
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def clusters(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, n, instance, cluster): representatives of classes that candidate links connect with others.
+def _grouped(links: DataFrame, members: DataFrame) -> DataFrame:
+    """The members (doc_id, cluster, ...) that links (cluster, u, v) connect with others, ``cluster`` now naming the component.
 
-    Nodes are hashes of document and instance; should two collide, their clusters are counted as one.
+    Nodes are hashes of document and cluster; should two collide, their components are taken for one.
     """
-    node = lambda c: F.xxhash64(F.col(c), "instance")
-    found = components(candidates.select(node("u").alias("u"), node("v").alias("v")))
-    nodes = candidates.select("instance", F.col("u").alias("doc_id")).union(candidates.select("instance", "v")).distinct()
-    nodes = nodes.join(classes.select(F.col("class_id").alias("doc_id"), "n"), "doc_id").withColumn("node", node("doc_id"))
-    members = nodes.join(found, "node").select("doc_id", "n", "instance", F.col("component").alias("cluster"))
-    several = members.groupBy("cluster").agg(F.count("*").alias("_members"), F.sum("n").alias("_weight")).filter("_members > 1")
-    blocks = F.ceil(F.col("_weight") / BLOCK_ELEMENTS).cast("long")
-    return common.stored(members.join(several.select("cluster", blocks.alias("blocks")), "cluster"), "clusters")
+    node = lambda c: F.xxhash64(F.col(c), "cluster")
+    found = components(links.select(node("u").alias("u"), node("v").alias("v")))
+    rows = members.withColumn("node", node("doc_id")).join(found, "node").drop("node", "cluster").withColumnRenamed("component", "cluster")
+    several = rows.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).filter("docs > 1")
+    return common.stored(rows.join(several, "cluster"), "clusters")
+
+
+def _in_pairs_of_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row of (cluster, doc_id, ...) once for each block of its cluster, under the pair's ``_key``; ``side`` tells its block of two."""
+    rows = rows.withColumn("_blocks", F.ceil(blocks).cast("long")).withColumn("_block", F.pmod(F.xxhash64("doc_id"), "_blocks"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    rows = rows.withColumn("_key", F.xxhash64("cluster", F.least("_block", "_other"), F.greatest("_block", "_other")))
+    return rows.withColumn("side", (F.col("_block") > F.col("_other")).cast("long")).drop("_blocks", "_block", "_other")
+
+
+def _like(ids: np.ndarray, sizes: np.ndarray, shapes: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Links between sets that may be similar by their sizes and shapes (side 0 with itself where there is no side 1)."""
+    order = np.lexsort((ids, sizes))
+    ids, sizes, shapes, side = ids[order], sizes[order], shapes[order], side[order]
+    apart, found = bool(side.any()), [np.zeros((0, 2), np.int64)]
+    for i in range(len(sizes) - 1):
+        j = np.arange(i + 1, np.searchsorted(sizes * percent, sizes[i] * 100, side="right"))
+        if apart:
+            j = j[side[j] != side[i]]
+        if len(j):
+            differ = np.abs(shapes[j] - shapes[i]).sum(1, dtype=np.int64)
+            j = j[differ * (100 + percent) <= (100 - percent) * (sizes[i] + sizes[j])]
+            found.append(np.stack([np.full(len(j), ids[i]), ids[j]], 1))
+    return np.concatenate(found)
+
+
+def clusters(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, cluster, docs, elements): representatives of classes in groups of like shapes; docs and elements are the group's."""
+    nodes = candidates.select(F.col("instance").alias("cluster"), F.col("u").alias("doc_id")).union(candidates.select("instance", "v")).distinct()
+    nodes = nodes.join(classes.select(F.col("class_id").alias("doc_id"), "n", "shape"), "doc_id")
+    members = _grouped(candidates.select(F.col("instance").alias("cluster"), "u", "v"), nodes)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in common.runs(batches, "_key"):
+            if group.num_rows > 1:
+                ids, sizes, side, cluster = (group.column(c).to_numpy() for c in ("doc_id", "n", "side", "cluster"))
+                shapes = np.frombuffer(b"".join(group.column("shape").to_pylist()), "<i2").reshape(len(ids), CELLS)
+                forest = Forest()
+                forest.link(_like(ids, sizes, shapes, side, percent))
+                links = forest.edges()
+                if len(links):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(links), cluster[0])), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["cluster", "u", "v"])
+
+    dealt = _in_pairs_of_blocks(members, F.col("docs") / BLOCK_DOCS).select("_key", "cluster", "doc_id", "n", "side", "shape")
+    links = dealt.repartition("_key").sortWithinPartitions("_key").mapInArrow(compare, "cluster long, u long, v long")
+    return _grouped(common.stored(links, "like"), members.drop("shape", "docs", "elements"))
 
 
 def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """True links (u, v) inside clusters: a spanning forest of each pair of blocks."""
-    places = members.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "blocks")).alias("places"))  # at most two
+    places = members.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "elements")).alias("places"))  # at most two
     if members.count() <= MOST_BROADCAST:
         places = F.broadcast(places)
     texts = _texts(docs).join(places, "doc_id")
@@ -312,12 +366,8 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(at, len(ids)), lists], names=["doc_id", "places", "codes"])
                 at += len(ids)
 
-    made = texts.select("doc_id", "text", "places").mapInArrow(sets, "doc_id long, places array<struct<cluster:bigint,blocks:bigint>>, codes array<bigint>")
+    made = texts.select("doc_id", "text", "places").mapInArrow(sets, "doc_id long, places array<struct<cluster:bigint,elements:bigint>>, codes array<bigint>")
     made = made.select("doc_id", "codes", F.explode("places").alias("_p")).select("doc_id", "codes", "_p.*")
-    made = made.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    made = made.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    made = made.withColumn("_key", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
-    made = made.withColumn("side", (F.col("block") > F.col("other")).cast("long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -330,8 +380,8 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
         links = forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
-    dealt = made.select("_key", "doc_id", "side", "codes").repartition("_key").sortWithinPartitions("_key")
-    return dealt.mapInArrow(count, "u long, v long")
+    dealt = _in_pairs_of_blocks(made, F.col("elements") / BLOCK_ELEMENTS).select("_key", "doc_id", "side", "codes")
+    return dealt.repartition("_key").sortWithinPartitions("_key").mapInArrow(count, "u long, v long")
 
 
 def near_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
@@ -342,10 +392,10 @@ def near_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     """
     sets = set_table(docs, words)
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = common.stored(known.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = common.stored(known.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id"), F.first("shape").alias("shape")), "classes")
     candidates = candidate_links(docs, words, percent)
     common.tidy(docs.sparkSession)
-    members = clusters(candidates, classes)
+    members = clusters(candidates, classes, percent)
     true = components(_verified(docs, members, words, percent))
     linked = F.coalesce("component", "class_id").alias("component_id")
     classes = classes.join(true, F.col("class_id") == F.col("node"), "left").select("fa", "fb", "n", "class_id", linked)

@@ -42,12 +42,14 @@ MOST_NODES = 3_000_000
 TOP_WORDS = 500_000
 #: Distinct grams or words that a worker counts before it hands them on.
 HELD = 800_000
+#: Symbols that are counted or scored at once; of a longer text one piece after another.
+PIECE = 500_000
 #: Bytes of text in hand at once; a symbol takes some 100 bytes while it is scored.
-COUNTED_BYTES, SCORED_BYTES = 1_000_000, 500_000
+COUNTED_BYTES, SCORED_BYTES = 1_000_000, PIECE
 #: Cells of a dense child table (4 bytes each); larger ones are hashed.
 DENSE_CELLS = 8_000_000
 
-_LOWER = np.arange(256, dtype=np.int64)
+_LOWER = np.arange(256, dtype=np.int16)
 _LOWER[65:91] += 32
 
 
@@ -98,20 +100,29 @@ class Trie:
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts in turn, each with its end; places of the ends)."""
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))) - 1
-    data = _LOWER[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)] if texts else np.zeros(0, np.int64)
+    data = _LOWER[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)] if texts else np.zeros(0, np.int16)
     data[ends] = END
     return data, ends
 
 
-def grams(texts: list[bytes], order: int) -> np.ndarray:
-    """The longest gram that ends at each symbol, up to order + 1 symbols of its text: 9 bits for each, plus 1 so that none is 0."""
+def _places(ends: np.ndarray, a: int, b: int) -> np.ndarray:
+    """How many symbols of its own text come before each of the symbols a to b."""
+    at = np.arange(a, b)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    return at - begins[np.searchsorted(ends, at)]
+
+
+def grams(texts: list[bytes], order: int) -> Iterator[np.ndarray]:
+    """The longest gram that ends at each symbol, up to order + 1 symbols of its text: 9 bits each, symbols plus 1; by pieces."""
     data, ends = symbols(texts)
-    since = np.arange(len(data)) - np.repeat(np.concatenate([[0], ends[:-1] + 1]), np.diff(np.concatenate([[-1], ends]))) if len(data) else data
-    key = data + 1
-    for k in range(1, order + 1):
-        there = since >= k
-        key[there] += (data[np.flatnonzero(there) - k] + 1) << (_BITS * k)
-    return key
+    for a in range(0, len(data), PIECE):
+        b = min(a + PIECE, len(data))
+        before = _places(ends, a, b)
+        key = data[a:b].astype(np.int64) + 1
+        for k in range(1, order + 1):
+            there = np.flatnonzero(before >= k)
+            key[there] += (data[a + there - k].astype(np.int64) + 1) << (_BITS * k)
+        yield key
 
 
 class Counts:
@@ -141,7 +152,8 @@ def corpus_counts(training: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counts(GRAM), Counts(WORD), Counts(TEXT)]
         for _, texts in common.text_slices(batches, "doc_id", most=COUNTED_BYTES):
-            counts[GRAM].add(grams(texts, order))
+            for keys in grams(texts, order):
+                counts[GRAM].add(keys)
             counts[WORD].add(word_hashes(texts)[0].view(np.int64))
             counts[TEXT].add(np.zeros(len(texts), np.int64))
             for c in counts:
@@ -268,25 +280,35 @@ class Scorer:
         data, ends = symbols(texts)
         if not len(self.t.keys[1]):
             return np.diff(np.concatenate([[-1], ends])) * self.t.leave[0][1]
+        total = np.zeros(len(texts))
+        for a in range(0, len(data), PIECE):
+            b, overlap = min(a + PIECE, len(data)), min(a, self.t.order)
+            costs = self._costs(data[a - overlap : b], _places(ends, a - overlap, b) == 0)[overlap:]
+            total += np.bincount(np.searchsorted(ends, np.arange(a, b)), weights=costs, minlength=len(texts))
+        return total
+
+    def _costs(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 P of each symbol; ``first`` marks where a text begins, before which nothing is a context."""
         code = self.code[data]
-        ids, before = [None, code.astype(np.int32)], []
+        ids, before = [None, code.astype(np.int32)], [None]
         for m in range(1, self.t.order + 2):
             if m > 1:
                 ids.append(self._extend(m, before[m - 1], code))
             if m <= self.t.order:
-                context = np.empty(len(data), np.int32)
-                context[0], context[1:] = 0, ids[m][:-1]
-                context[ends[:-1] + 1] = 0  # nothing comes before a text
-                before += [None, context] if m == 1 else [context]
+                context = np.concatenate([[0], ids[m][:-1]]).astype(np.int32)
+                context[first] = 0
+                before.append(context)
         cost = self.log10[self.t.order + 1][ids[self.t.order + 1]]
         open_ = np.flatnonzero(ids[self.t.order + 1] == 0)
         for m in range(self.t.order, 0, -1):
-            cost[open_] += self.leave[m][before[m][open_]]
             here = ids[m][open_]
-            cost[open_] += self.log10[m][here]
+            cost[open_] += self.leave[m][before[m][open_]] + self.log10[m][here]
             open_ = open_[here == 0]
         cost[open_] += self.leave[0][1]
-        return np.add.reduceat(cost, np.concatenate([[0], ends[:-1] + 1]))
+        return cost
+
+
+_scorers: dict[str, Scorer] = {}
 
 
 def trained(counts: DataFrame, order: int, most_nodes: int = MOST_NODES) -> tuple[np.ndarray, np.ndarray]:
@@ -314,9 +336,6 @@ def trained(counts: DataFrame, order: int, most_nodes: int = MOST_NODES) -> tupl
     return found.column("key").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     """Whether a document is kept from training: CRC-32 of its id as text."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -26,6 +26,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose words are hashed at once.
+PIECE = 2_000_000
 _powers = np.ones(1, np.uint64)
 
 
@@ -47,20 +49,37 @@ def word_spans(texts: list[bytes], blanks: np.ndarray = _BLANK) -> tuple[np.ndar
     ``blanks`` tells for each byte whether it separates words; a line feed must.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    parts = [_spans_of(data[a:b], a, blanks) for a, b in _pieces(data, blanks)]
+    begins, ends, hashes = map(np.concatenate, zip(*parts, strict=True))
+    place = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
+    return data, begins, ends, hashes, np.concatenate([[0], np.searchsorted(begins, place, side="left")])
+
+
+def _pieces(data: np.ndarray, blanks: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of about PIECE bytes that end after a blank, so that a long text needs no more memory at once than a short one."""
+    cuts = [0]
+    while cuts[-1] < len(data):
+        end = cuts[-1] + PIECE
+        while end < len(data) and not blanks[data[end - 1]]:
+            end += 1
+        cuts.append(min(end, len(data)))
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) or [(0, 0)]
+
+
+def _spans_of(data: np.ndarray, at: int, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first and end places, hashes) of the words of a piece that begins at ``at``."""
     blank = blanks[data]
     inner = ~blank
-    begins = np.flatnonzero(inner & np.concatenate([[True], blank[:-1]]))
-    ends = np.flatnonzero(blank & np.concatenate([[False], inner[:-1]]))
-    place = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
-    offsets = np.concatenate([[0], np.searchsorted(begins, place, side="left")])
+    begins = np.flatnonzero(inner & np.concatenate([[True], blank[:-1]])[: len(data)])
+    ends = np.flatnonzero(blank & np.concatenate([[False], inner[:-1]])[: len(data)])
     if not len(begins):
-        return data, begins, ends, np.zeros(0, np.uint64), offsets
+        return begins, ends, np.zeros(0, np.uint64)
     lengths = ends - begins
     with np.errstate(over="ignore"):
         chars = _BYTE[data[inner]]
         starts = np.cumsum(lengths) - lengths
         chars *= _power(int(lengths.max()))[np.arange(len(chars)) - np.repeat(starts, lengths)]
-        return data, begins, ends, mixed(np.add.reduceat(chars, starts) + lengths.astype(np.uint64)), offsets
+        return begins + at, ends + at, mixed(np.add.reduceat(chars, starts) + lengths.astype(np.uint64))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

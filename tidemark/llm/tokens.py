@@ -173,8 +173,8 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID, by_word:
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = END_ID, by_word: bool = True) -> None:
     """Write the documents' ids under ``path`` in ascending order of doc_id."""
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", "text", tie.alias("_tie"))
-    rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")
+    rows = docs.select("doc_id", "text", tie.alias("_tie"), F.rand(0).alias("_salt"))  # the salt spreads equal rows
+    rows = rows.repartitionByRange("doc_id", "_tie", "_salt").sortWithinPartitions("doc_id", "_tie", "text")
     coded = encoded(rows, tokenizer_json, end_id, by_word)
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_GROUP), "compression": "zstd"}
     coded.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids").write.options(**options).orc(path)
