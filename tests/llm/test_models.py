@@ -72,6 +72,31 @@ def test_bounded_model_and_adaptive(make):
     assert (r["n_known"], r["train_tokens"]) == (0, 0) and r["score"] == pytest.approx(-3 * math.log10(257))
 
 
+@pytest.mark.parametrize("top_grams", [0, 30])
+def test_rare_grams_are_joined(make, top_grams):
+    rows = prose(5, 60) + [(100, None), (None, "xyzzy")]
+    trie = ppm.Trie()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            text = [*(t or "").lower().encode(), ppm.END]
+            for at, x in enumerate(text):
+                trie.learn(text[max(0, at - trie.order) : at], x)
+    got = {r["doc_id"]: r["score"] for r in ppm.score(make(rows), top_grams=top_grams).collect()}
+    assert got == pytest.approx({i: trie.score((t or "").encode(), adaptive=False) for i, t in rows}, rel=1e-9)
+
+
+def test_no_gram_is_left_out(make):
+    """More grams than the 3,000,000 of which a model once was made."""
+    data = np.random.default_rng(6).integers(97, 123, (44, 100_000)).astype(np.uint8)
+    rows = [(i, x.tobytes().decode()) for i, x in enumerate(data)]
+    kept = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    keys, sums = np.unique(np.concatenate([*ppm.grams(kept, ppm.ORDER)]), return_counts=True)
+    assert len(keys) > 3_000_000
+    want = ppm.Scorer(ppm.Tables(ppm.ORDER, keys, sums)).scores([t.encode() for _, t in rows])
+    got = {r["doc_id"]: r["score"] for r in ppm.score(make(rows)).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-9)
+
+
 def test_pieces(make, monkeypatch):
     rows = prose(4, 20) + [(77, "ab ba nan " * 50)]
     whole = {r["doc_id"]: (r["base_score"], r["score"]) for r in ppm.score(make(rows)).collect()}

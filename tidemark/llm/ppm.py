@@ -7,10 +7,11 @@ equally likely. Every count goes to all suffixes of a context, so that what a co
 Hence what is excluded after an escape depends on one pair of contexts only, and the pretrained trie becomes two tables:
 log10 P of each (context, symbol), and the log10 weight of leaving each context.
 
-Pretrained: workers count the longest contexts of all training texts, counts are added up by shuffle, the trie is built
-from the sums and scores every text at once by array operations. Adaptive (``Trie``): each text by what came before in
-it. A model holds at most ``most_nodes`` grams; where a corpus has more, the rarest long ones go (those seen fewer than
-the least number of times that fits), which keeps the model a probability and its broadcast bounded.
+Pretrained: workers count the longest grams of all texts (those of held-out texts with 0), counts are added up by shuffle,
+and joins level by level give the cost of each gram from that of the gram without its first symbol. No gram is left out:
+costs of the most frequent (at most TOP_GRAMS) are broadcast, those of others are joined, which changes no score. Adaptive
+(``Trie``): each text by what came before in it. Only a caller that gives ``most_nodes`` gets a smaller model, in which the
+rarest long grams are shortened. ``Tables`` and ``Scorer`` are the same model in one worker's memory, a yardstick as ``Trie`` is.
 
 The base score takes words with one end a text: sum of log10((c + 0.5) / (N + 0.5 (V + 1))). Counts of the most
 frequent words (at most TOP_WORDS) are broadcast, those of others are joined. Words are counted by 64-bit hashes.
@@ -22,14 +23,15 @@ empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .shingles import word_hashes
@@ -38,7 +40,7 @@ ORDER = 5
 END = 256
 SYMBOLS = 257
 _BITS = 9
-MOST_NODES = 3_000_000
+TOP_GRAMS = 3_000_000
 TOP_WORDS = 500_000
 #: Distinct grams or words that a worker counts before it hands them on.
 HELD = 800_000
@@ -131,8 +133,9 @@ class Counts:
     def __init__(self, kind: int):
         self.kind, self.keys, self.sums = kind, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, weight: int = 1) -> None:
         new, n = np.unique(keys, return_counts=True)
+        n *= weight
         both = np.concatenate([self.keys, new])
         self.keys, place = np.unique(both, return_inverse=True)
         self.sums = np.bincount(place, weights=np.concatenate([self.sums, n]), minlength=len(self.keys)).astype(np.int64)
@@ -146,23 +149,27 @@ class Counts:
 GRAM, WORD, TEXT = 0, 1, 2
 
 
-def corpus_counts(training: DataFrame, order: int) -> DataFrame:
-    """(kind, key, n) over all training texts: longest grams, words, and the number of texts (key 0)."""
+def corpus_counts(rows: DataFrame, order: int) -> DataFrame:
+    """(kind, key, n) over all training texts: longest grams, words, and the number of texts (key 0); grams of held-out texts alone have n 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counts(GRAM), Counts(WORD), Counts(TEXT)]
-        for _, texts in common.text_slices(batches, "doc_id", most=COUNTED_BYTES):
-            for keys in grams(texts, order):
-                counts[GRAM].add(keys)
-            counts[WORD].add(word_hashes(texts)[0].view(np.int64))
-            counts[TEXT].add(np.zeros(len(texts), np.int64))
+        for held, texts in common.text_slices(batches, "held_out", most=COUNTED_BYTES):
+            held = held.to_numpy(zero_copy_only=False)
+            for out in (False, True):
+                some = [texts[i] for i in np.flatnonzero(held == out)]
+                for keys in grams(some, order):
+                    counts[GRAM].add(keys, 0 if out else 1)
+                if some and not out:
+                    counts[WORD].add(word_hashes(some)[0].view(np.int64))
+                    counts[TEXT].add(np.zeros(len(some), np.int64))
             for c in counts:
                 if len(c.keys) > HELD:
                     yield c.handed_on()
         for c in counts:
             yield c.handed_on()
 
-    rows = training.select("doc_id", "text").mapInArrow(run, "kind int, key long, n long")
+    rows = rows.select("held_out", "text").mapInArrow(run, "kind int, key long, n long")
     return common.stored(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
 
 
@@ -308,32 +315,100 @@ class Scorer:
         return cost
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def trained(counts: DataFrame, order: int, most_nodes: int = MOST_NODES) -> tuple[np.ndarray, np.ndarray]:
-    """(longest grams, sums) for a trie of at most about ``most_nodes`` grams of full length.
+def shortened(grams: DataFrame, order: int, most_nodes: int) -> DataFrame:
+    """(key, n) of longest grams for a trie of at most about ``most_nodes`` grams of full length.
 
     Where there are more, the least frequent lose their first symbol, again and again until they fit or are short; their
     counts stay with their suffixes.
     """
-    rows = counts.filter(F.col("kind") == GRAM).select("key", "n")
+    rows = grams.filter(F.col("n") > 0)
     for m in range(order, 1, -1):
-        have = rows.count()
-        if have <= most_nodes:
+        if rows.count() <= most_nodes:
             break
-        step = F.floor(F.log2("n") * 4).cast("int").alias("step")
-        sizes = sorted(((r["step"], r["count"]) for r in rows.groupBy(step).count().collect()), reverse=True)
-        kept, least = 0, None
-        for value, n in sizes:
-            if kept + n > most_nodes // 2:
-                break
-            kept, least = kept + n, value
-        rare = F.lit(True) if least is None else F.floor(F.log2("n") * 4) < least
-        shorter = F.when(rare, F.col("key").bitwiseAND(F.lit((1 << (_BITS * m)) - 1))).otherwise(F.col("key"))
+        _, frequent = _frequent(rows, most_nodes // 2, 4)
+        shorter = F.when(frequent, F.col("key")).otherwise(F.col("key").bitwiseAND(F.lit((1 << (_BITS * m)) - 1)))
         rows = common.stored(rows.groupBy(shorter.alias("key")).agg(F.sum("n").alias("n")), "lm-grams")
-    found = rows.toArrow()
-    return found.column("key").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64)
+    return rows
+
+
+def costs(grams: DataFrame, order: int) -> DataFrame:
+    """(key, n, cost) for (key, n) of longest grams: log10 P of each one's last symbol after the others.
+
+    Level m has all grams of m symbols that end a longest gram, also those never trained (n 0). A gram meets the one without
+    its first symbol, whose cost and whose context's weight it takes on where its own context leaves; so a row of a level
+    is joined with at most SYMBOLS rows, and a context has at most SYMBOLS.
+    """
+    key, n, levels = F.col("key"), F.col("n"), {}
+    for m in range(order + 1, 0, -1):
+        rows = grams.filter(key.between(1 << (_BITS * (m - 1)), (1 << (_BITS * m)) - 1)).select("key", "n", F.lit(True).alias("own"))
+        if m <= order:
+            ends = levels[m + 1].select(key.bitwiseAND(F.lit((1 << (_BITS * m)) - 1)).alias("key"), "n", F.lit(False).alias("own"))
+            rows = rows.unionByName(ends).groupBy("key").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+            rows = common.stored(rows, "lm-level")
+        levels[m] = rows
+    # after order 0 each symbol counts once
+    shorter = grams.sparkSession.createDataFrame([(0, 1, -math.log10(SYMBOLS), float(SYMBOLS))], "key long, n long, cost double, weight double")
+    found, context, seen = [], Window.partitionBy("context"), n > 0
+    for m in range(1, order + 2):
+        shorter = shorter.select(key.alias("suffix"), n.alias("suffix_n"), F.col("cost").alias("suffix_cost"), F.col("weight").alias("before"))
+        rows = levels[m].withColumns({"suffix": key.bitwiseAND(F.lit((1 << (_BITS * (m - 1))) - 1)).cast("long"), "context": F.shiftright("key", _BITS)})
+        rows = rows.join(shorter, "suffix").withColumns(
+            {
+                "total": F.coalesce(F.sum(F.when(seen, 2 * n - 1)).over(context), F.lit(0)),
+                "distinct": F.count(F.when(seen, 1)).over(context),
+                "gone": F.sum(F.when(seen, 2 * F.col("suffix_n") - 1)).over(context),
+            }
+        )
+        rows = rows.withColumn("distinct", F.when(F.col("distinct") < SYMBOLS, F.col("distinct")).otherwise(0))
+        rows = rows.withColumn("weight", (F.col("total") + F.col("distinct")).cast("double"))
+        leave = F.log10(F.try_divide("distinct", "weight")) + F.log10(F.try_divide("before", F.col("before") - F.col("gone")))
+        leave = F.when(F.col("total") > 0, leave).otherwise(0.0)
+        cost = F.when(seen, F.log10(F.try_divide(2 * n - 1, F.col("weight")))).otherwise(leave + F.col("suffix_cost"))
+        shorter = common.stored(rows.select("key", "n", "own", cost.alias("cost"), "weight"), "lm-costs")
+        found.append(shorter.filter("own").select("key", "n", "cost"))
+    return functools.reduce(DataFrame.union, found)
+
+
+def _frequent(counts: DataFrame, most: int, parts: int) -> tuple[list, Column]:
+    """(sizes by step of frequency, whether a row is among the most frequent, at most ``most``: whole steps at a time)."""
+    step = F.floor(F.log2("n") * parts).cast("int")
+    steps = counts.filter("n > 0").groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, some = None, 0
+    for r in steps:
+        if some + r["rows"] > most:
+            break
+        least, some = r["step"], some + r["rows"]
+    return steps, F.lit(False) if least is None else (F.col("n") > 0) & (step >= least)
+
+
+class Known:
+    """Sorted keys and a value of each, for looking many up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each is there, its value or 0)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        value, place = np.unique(keys, return_inverse=True)
+        spot = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
+        hit = self.keys[spot] == value
+        return hit[place], np.where(hit, self.values[spot], 0.0)[place]
+
+
+def gram_scores(known: Known, texts: list[bytes], order: int) -> tuple[np.ndarray, pa.ListArray]:
+    """(sum of the known grams' costs, the other grams) of each text."""
+    ends = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))) - 1
+    total, n_rest, rest, a = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [], 0
+    for keys in grams(texts, order):
+        of = np.searchsorted(ends, np.arange(a, a + len(keys)))
+        got, value = known.find(keys)
+        total += np.bincount(of, weights=value, minlength=len(texts))
+        n_rest += np.bincount(of[~got], minlength=len(texts))
+        rest.append(keys[~got])
+        a += len(keys)
+    return total, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rest)]), pa.int32()), pa.array(np.concatenate(rest)))
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -341,46 +416,39 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int = MOST_NODES, top_words: int = TOP_WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of each row."""
+def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int | None = None, top_grams: int = TOP_GRAMS, top_words: int = TOP_WORDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of each row; ``most_nodes`` asks for a smaller model."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = corpus_counts(rows.filter(~F.col("held_out")), order)
+    counts = corpus_counts(rows, order)
     words = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     n_texts = counts.filter(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
-    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
-    steps = words.groupBy(step).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("step")).collect()
-    n_tokens = sum(r["tokens"] for r in steps) + n_texts
-    n_distinct = sum(r["words"] for r in steps) + (n_texts > 0)
-    least, some = None, 0
-    for r in steps:  # the most frequent words, whole steps of frequency at a time
-        if some + r["words"] > top_words:
-            break
-        least, some = r["step"], some + r["words"]
-    frequent = F.lit(False) if least is None else F.floor(F.log2("n") * 8) >= least
-    top = words.filter(frequent).orderBy("word").toArrow()
-    tables = Tables(order, *trained(counts, order, most_nodes))
+    steps, frequent = _frequent(words, top_words, 8)
+    n_tokens = sum(r["n"] for r in steps) + n_texts
+    n_distinct = sum(r["rows"] for r in steps) + (n_texts > 0)
     whole = n_tokens + 0.5 * (n_distinct + 1)
-    model = spark.sparkContext.broadcast((tables, top.column("word").to_numpy(), top.column("n").to_numpy()))
-    number = uuid.uuid4().hex
+    top = words.filter(frequent).orderBy("word").toArrow()
+    all_grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
+    if most_nodes is not None:
+        model = shortened(all_grams, order, most_nodes).union(all_grams.select("key", F.lit(0).cast("long")))
+        all_grams = common.stored(model.groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
+    gram_costs = costs(all_grams, order)
+    _, often = _frequent(gram_costs, top_grams, 4)
+    top_costs = gram_costs.filter(often).select("key", "cost").toArrow()
+    by_key = np.argsort(top_costs.column("key").to_numpy())
+    known_grams = Known(top_costs.column("key").to_numpy()[by_key], top_costs.column("cost").to_numpy()[by_key])
+    known_words = Known(top.column("word").to_numpy(), np.log10((top.column("n").to_numpy() + 0.5) / whole))
+    model = spark.sparkContext.broadcast((known_grams, known_words))
+    del top_costs, by_key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, known, known_n = model.value
-        if number not in _scorers:
-            _scorers.clear()
-            _scorers[number] = Scorer(tables)
-        scorer = _scorers[number]
-        points = np.log10((known_n + 0.5) / whole)
+        known_grams, known_words = model.value
         end = math.log10((n_texts + 0.5) / whole)
         for batch in batches:
             at = 0
             for ids, texts in common.text_slices([batch], "doc_id", most=SCORED_BYTES):
                 hashes, offsets = word_hashes(texts)
-                value, place = np.unique(hashes.view(np.int64), return_inverse=True)
-                spot = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
-                hit = known[spot] == value if len(known) else np.zeros(len(value), bool)
-                got = hit[place]
-                gain = np.where(got, points[spot[place]] if len(known) else 0.0, 0.0)
+                got, gain = known_words.find(hashes.view(np.int64))
                 sizes = np.diff(offsets)
                 base = np.array([gain[a:b].sum() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]) + end
                 n_known = np.concatenate([[0], np.cumsum(got)])
@@ -388,27 +456,31 @@ def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int = MOST_NODES,
                 lists = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(hashes.view(np.int64)[~got]))
                 held = batch.column(2).slice(at, len(ids))
                 at += len(ids)
-                columns = [ids, held, pa.array(sizes + 1), pa.array(n_known[offsets[1:]] - n_known[offsets[:-1]] + (n_texts > 0)), pa.array(base), pa.array(scorer.scores(texts))]
-                columns += [lists, pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "top_known", "top_score", "score", "rest", "n_bytes"])
+                score, grams_left = gram_scores(known_grams, texts, order)
+                columns = [ids, held, pa.array(sizes + 1), pa.array(n_known[offsets[1:]] - n_known[offsets[:-1]] + (n_texts > 0)), pa.array(base), pa.array(score)]
+                columns += [lists, grams_left, pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))]
+                names = ["doc_id", "held_out", "n_tokens", "top_known", "top_base", "top_score", "rest", "grams", "n_bytes"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, top_known long, top_score double, score double, rest array<long>, n_bytes long")
-    scored = common.stored(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, top_known long, top_base double, top_score double, rest array<long>, grams array<long>, n_bytes long"
+    scored = common.stored(rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
     others = scored.select("_row", F.explode("rest").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
     others = others.join(words.filter(~frequent), "word", "left")
     n = F.coalesce("n", F.lit(0))
-    gain = (F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(whole)))).alias("more_score")
+    gain = (F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(whole)))).alias("more_base")
     others = others.groupBy("_row").agg(gain, F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    both = scored.drop("rest").join(others, "_row", "left")
+    rarer = scored.select("_row", F.explode("grams").alias("key")).join(gram_costs.filter(~often), "key")
+    rarer = rarer.groupBy("_row").agg(F.sum("cost").alias("more_score"))
+    both = scored.drop("rest", "grams").join(others, "_row", "left").join(rarer, "_row", "left")
     return both.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("top_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("top_score") + F.coalesce("more_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("top_base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("top_score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
         "n_bytes",
     )
 
