@@ -225,6 +225,30 @@ def test_paraphrases_and_odd_items(spark, make):
     assert decontaminate.leaks(make([]), bench).count() == 0 and decontaminate.leaks(make(rows), bench.limit(0)).count() == 0
 
 
+def zipf_corpus(seed, n_items, n_docs):
+    """(items of 15 to 59 words, documents of which some hold an item, (doc_id, item_id) of exact copies)."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: [f"w{x}" for x in rng.zipf(1.2, n) % 50_000]
+    items = [(i, text(rng.integers(15, 60))) for i in range(n_items)]
+    docs, exact = [], set()
+    for d in range(n_docs):
+        words = text(rng.integers(60, 300))
+        if d % 10 == 0:
+            i, item = items[(d // 10) % n_items]
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = item
+            exact.add((d, i))
+        docs.append((d, " ".join(words)))
+    return [(i, " ".join(t)) for i, t in items], docs, exact
+
+
+@pytest.mark.parametrize("least_cosine", [decontaminate.LEAST_COSINE, 2.0])
+def test_no_exact_copy_hangs_on_the_cosine(spark, make, least_cosine):
+    items, docs, exact = zipf_corpus(9, 200, 2000)
+    found = decontaminate.leaks(make(docs), spark.createDataFrame(items, "item_id bigint, text string"), least_cosine=least_cosine)
+    assert exact <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
+
+
 # -- lines ------------------------------------------------------------------------------------------------------------
 
 

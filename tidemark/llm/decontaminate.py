@@ -11,7 +11,8 @@ sought among the narrow or the wide ones by its length, a long item by its parts
    term, and the driver gets the (terms x rank) sketch, whose Nystroem form gives the leading singular vectors.
 4. Every passage is projected; its score with an item is their cosine among the singular vectors times the share of the
    passage's length that lies in the term space, where a token that is no term counts ``OTHER`` of a mean term. Passages
-   that reach ``LEAST_COSINE`` are candidates.
+   that reach ``LEAST_COSINE`` are candidates. So are, whatever their cosine, those from which on a stretch long enough for
+   the part holds half of the part's ANCHORS rarest terms: a verbatim copy holds them all and never hangs on the cosine.
 5. A candidate's neighbourhood in the text is compared with the item word by word: it is contaminated where the longest
    common subsequence holds ``SURE`` of the item's words, or ``LIKELY`` of them and the answer (the item's last sentence)
    almost whole.
@@ -43,6 +44,8 @@ STOP_SHARE, KEPT_TERMS = 0.05, 4
 RANK, SPARE = 64, 8
 LEAST_COSINE = 0.35
 OTHER = 0.5
+#: The rarest terms of an item's part, of which a passage shares half or more to be a candidate by them.
+ANCHORS = 8
 SURE, LIKELY, ANSWER = 0.75, 0.55, 0.8
 MOST_ITEMS = 200_000
 #: Up to so many candidates their ids and places (16 bytes each) are broadcast to pick texts; beyond, texts are joined.
@@ -229,6 +232,34 @@ def singular_vectors(found: DataFrame, idf: np.ndarray, seed: int = 5) -> np.nda
     return (left[:, :RANK] / size[:RANK]).astype(np.float32)
 
 
+def _anchors(number: np.ndarray, term: np.ndarray, n_parts: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets by term, parts that have the term among their rarest, how many of them each part asks for)."""
+    number, term = np.unique(np.stack([number, term]), axis=1)
+    order = np.lexsort((term, -idf[term], number))
+    number, term = number[order], term[order]
+    few = np.arange(len(number)) - np.searchsorted(number, number) < ANCHORS
+    number, term = number[few], term[few]
+    by_term = np.lexsort((number, term))
+    return np.searchsorted(term[by_term], np.arange(len(idf) + 1)), number[by_term], -(-np.bincount(number, minlength=n_parts) // 2)
+
+
+def _sharing(row: np.ndarray, block: np.ndarray, term: np.ndarray, step: int, span: int, anchors: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, part) where the ``span`` steps of blocks from the passage's first on share enough anchors with the part."""
+    offsets, parts, need = anchors
+    there = np.flatnonzero(offsets[term + 1] > offsets[term])
+    half, back = block[there] // step, np.arange(span)
+    inner = half[:, None] >= back
+    stretches, number = np.unique(((row[there] * _ROW + half)[:, None] - back)[inner], return_inverse=True)
+    terms = len(offsets) - 1
+    cell = np.unique(number * terms + np.repeat(term[there], inner.sum(1)))
+    number, term = cell // terms, cell % terms
+    n = offsets[term + 1] - offsets[term]
+    part = parts[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - offsets[term], n)]
+    pair, shared = np.unique(np.repeat(number, n) * len(need) + part, return_counts=True)
+    pair = pair[shared >= need[pair % len(need)]]
+    return stretches[pair // len(need)], pair % len(need)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -241,8 +272,9 @@ def candidates(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.nd
         key = np.concatenate([np.full(len(t), n) for n, (_, t) in enumerate(parts)] or [np.zeros(0, np.int64)])
         hit, term = _places(bench.terms, np.concatenate([t for _, t in parts] or [np.zeros(0, np.uint64)])) if len(bench.terms) else (np.zeros(0, np.int64),) * 2
         names, number = _numbered(key[hit].astype(np.int64))
+        anchors = _anchors(number, term, len(names), idf)
         first, term, value, _, _ = _weighted(number, term, idf)
-        queries[wide] = (np.array([parts[n][0] for n in names], np.int64), _unit(_projected(first, term, value, basis)))
+        queries[wide] = (np.array([parts[n][0] for n in names], np.int64), _unit(_projected(first, term, value, basis)), anchors)
     shared = found.sparkSession.sparkContext.broadcast((idf, basis, queries))
     kind = found.schema["doc_id"].dataType.simpleString()
 
@@ -252,11 +284,14 @@ def candidates(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.nd
         for batch in batches:
             row, block, term = _entries(batch)
             tokens = batch.column(3).to_numpy(zero_copy_only=False)
-            for wide, width in ((False, NARROW), (True, WIDE)):
-                items, wanted = queries[wide]
+            for wide, width, span in ((False, NARROW, 3), (True, WIDE, 4)):  # a part of 32 or of 95 tokens ends in so many steps
+                items, wanted, anchors = queries[wide]
                 if not len(items) or not len(term) or not basis.shape[1]:
                     continue
                 key, number, terms = _windows(row, block, term, width)
+                passage, part = _sharing(row, block, term, width // 2, span, anchors)
+                spot = np.minimum(np.searchsorted(key, passage), len(key) - 1)
+                spot, part = spot[key[spot] == passage], part[key[spot] == passage]
                 first, terms, value, norm, times = _weighted(number, terms, idf)
                 inside = np.minimum(width * BLOCK, tokens[key // _ROW] - (key % _ROW) * (width // 2) * BLOCK)
                 share = norm / np.sqrt(norm**2 + other * np.maximum(inside - times, 0))
@@ -265,7 +300,9 @@ def candidates(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.nd
                     end = first[b] if b < len(first) else len(terms)
                     some = slice(first[a], end)
                     near = (_unit(_projected(first[a:b] - first[a], terms[some], value[some], basis)) * share[a:b, None].astype(np.float32)) @ wanted.T
-                    p, q = np.nonzero(near >= least)
+                    chosen, here = near >= least, (spot >= a) & (spot < b)
+                    chosen[spot[here] - a, part[here]] = True
+                    p, q = np.nonzero(chosen)
                     place = (key[a:b][p] % _ROW) * (width // 2) * BLOCK
                     columns = [batch.column(0).take(pa.array(key[a:b][p] // _ROW)), pa.array(items[q]), pa.array(place), pa.array(np.full(len(p), width * BLOCK)), pa.array(near[p, q].astype(np.float64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item", "place", "width", "cosine"])
