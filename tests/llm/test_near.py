@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,6 +74,22 @@ def test_five_words_eighty_percent_in_blocks(make, monkeypatch):
     check(make, corpus(2), 5, 80)
 
 
+@pytest.mark.parametrize("block", [500_000, 300])
+def test_pairs_lose_no_link(make, monkeypatch, block):
+    monkeypatch.setattr(nearjoin, "BLOCK_ELEMENTS", block)
+    rows = corpus(4, groups=20, copies=12)
+    sets, least = {i: shingles(t, 4) for i, t in rows}, {}
+    for i in sorted(sets, reverse=True):
+        least[sets[i]] = i
+    classes = sorted((i, a) for a, i in least.items() if a)
+    want = [(i, j) for n, (j, b) in enumerate(classes) for i, a in classes[:n] if 100 * len(a & b) >= 85 * len(a | b)]
+    got = [tuple(r) for r in nearjoin.near_pairs(make(rows)).collect()]
+    assert sorted(got) == sorted(want)
+    assert len(got) > len({x for pair in got for x in pair})  # more than any forest has
+    assert {r["doc_id"]: r["class_id"] for r in nearjoin.near_components(make(rows)).collect()} == {i: least[a] for i, a in sets.items()}
+    assert nearjoin.near_pairs(make(ODD)).count() == 0 and nearjoin.near_pairs(make([])).count() == 0
+
+
 def test_odd_and_empty(make):
     check(make, ODD, 4, 85)
     assert nearjoin.near_components(make([])).count() == 0

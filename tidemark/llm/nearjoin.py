@@ -12,7 +12,8 @@ batch and forwards one document for each signature; the signatures meet by insta
 there; components of these candidate links, within an instance, are clusters. A cluster falls into parts by its sets'
 shapes: how many elements they have in each of CELLS cells of the domain. Shapes differ by no more than the sets do, so
 pairs whose shapes differ too much aren't similar. All pairs of a part are counted exactly. Both are done in blocks of
-bounded size. The components of the true links, with the classes of equal sets put back, are the result. Candidates only cost time:
+bounded size. The components of the true links, with the classes of equal sets put back, are the result of
+``near_components``, which needs a spanning forest of them only; ``near_pairs`` returns them all. Candidates only cost time:
 whatever shares no signature is not similar, whatever is not similar fails the exact count.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; equal sets are
@@ -350,8 +351,8 @@ def clusters(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return _grouped(common.stored(links, "like"), members.drop("shape", "docs", "elements"))
 
 
-def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """True links (u, v) inside clusters: a spanning forest of each pair of blocks."""
+def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int, *, every: bool = False) -> DataFrame:
+    """True links (u, v) inside clusters: a spanning forest of each pair of blocks, or every link (twice where two clusters share it)."""
     places = members.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "elements")).alias("places"))  # at most two
     if members.count() <= MOST_BROADCAST:
         places = F.broadcast(places)
@@ -371,31 +372,51 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
+        table = lambda links: pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
         for group in common.runs(batches, "_key"):
             if group.num_rows > 1:
                 lists = group.column("codes").combine_chunks()
                 offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
                 codes = lists.flatten().to_numpy(zero_copy_only=False)
-                forest.link(_links_of(group.column("doc_id").to_numpy(), codes, offsets, group.column("side").to_numpy(), percent))
-        links = forest.edges()
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
+                links = _links_of(group.column("doc_id").to_numpy(), codes, offsets, group.column("side").to_numpy(), percent)
+                if every:
+                    yield table(links)
+                else:
+                    forest.link(links)
+        yield table(forest.edges())
 
     dealt = _in_pairs_of_blocks(made, F.col("elements") / BLOCK_ELEMENTS).select("_key", "doc_id", "side", "codes")
     return dealt.repartition("_key").sortWithinPartitions("_key").mapInArrow(count, "u long, v long")
 
 
+def _sets_and_clusters(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, those that may be linked, their classes, clusters of classes)."""
+    sets = set_table(docs, words)
+    known = sets.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = common.stored(known.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id"), F.first("shape").alias("shape")), "classes")
+    candidates = candidate_links(docs, words, percent)
+    common.tidy(docs.sparkSession)
+    return sets, known, classes, clusters(candidates, classes, percent)
+
+
+def near_pairs(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
+    """(u, v), u < v: every pair of classes (by class_id) whose sets are similar, once.
+
+    With the class_id of ``near_components`` no link between documents is lost: those of a class are all linked, and those of
+    two linked classes too. There may be as many pairs as a group of similar classes has, its size squared.
+    """
+    *_, members = _sets_and_clusters(docs, words, percent)
+    links = _verified(docs, members, words, percent, every=True)
+    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+
+
 def near_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of each row of ``docs``.
 
     class_id is the least doc_id with an equal set, component_id the least one that links reach; both are the document
     itself where it is linked with nothing.
     """
-    sets = set_table(docs, words)
-    known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = common.stored(known.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id"), F.first("shape").alias("shape")), "classes")
-    candidates = candidate_links(docs, words, percent)
-    common.tidy(docs.sparkSession)
-    members = clusters(candidates, classes, percent)
+    sets, known, classes, members = _sets_and_clusters(docs, words, percent)
     true = components(_verified(docs, members, words, percent))
     linked = F.coalesce("component", "class_id").alias("component_id")
     classes = classes.join(true, F.col("class_id") == F.col("node"), "left").select("fa", "fb", "n", "class_id", linked)
