@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", write_tokens),
 ]
 
-#: SQL can express neither the trained model nor the latent space; the stages are tested against brute force.
+#: SQL can express neither the trained model nor the latent space; the stages are tested on planted documents.
 ORACLE_SQL = None
 
 

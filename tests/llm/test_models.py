@@ -349,3 +349,33 @@ def test_pipeline(spark):
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     ids = {r["doc_id"] for r in got.collect()}
     assert ids <= {r["doc_id"] for r in now.select("doc_id").collect()} and len(ids) > 0.5 * sizes[-1]
+
+
+def test_pipeline_on_planted_documents(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10))) for _ in range(4000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(25) for _ in range(8)]
+    clean = {i: text(rng.randrange(60, 120)) for i in range(300)}
+    toxic = {400 + i: [*text(40), "vilefoul", "grimcurse", "vilefoul", *text(40)] for i in range(60)}
+    copies = {500 + i: [*clean[i][:-1], "changed"] for i in range(30)} | {600 + i: clean[i] for i in range(20)}
+    leaked = {700 + i: [*text(30), *item, *text(30)] for i, item in enumerate(items)}
+    rows = [(i, " ".join(t), "en", "abc"[i % 3], 0) for i, t in (clean | toxic | copies | leaked).items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i, *_ in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    now, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {i for i, *_ in rows}
+    for (name, stage), gone in zip(corpus_pipeline.STAGES[:3], (toxic, copies, leaked), strict=True):
+        now, left = stage(spark, now, str(tmp_path)).cache(), left - set(gone)
+        assert sorted(r["doc_id"] for r in now.collect()) == sorted(left), name
+    library, want = Tokenizer.from_file(path()), []
+    for r in corpus_pipeline.mix_sources(spark, now, str(tmp_path)).collect():
+        ids = library.encode(r["text"], add_special_tokens=False).ids + [tokens.END_ID]
+        want.append((r["doc_id"], len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+    got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(want)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]

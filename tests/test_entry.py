@@ -36,3 +36,17 @@ def test_equals_sql(spark, duck, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9)) for x, y in zip(a, b)), (a, b)
+
+
+@pytest.mark.parametrize("name", sorted(entry.TEXT_SQL))
+def test_text_equals_sql(spark, duck, name):
+    df = entry.TEXT_QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    result = duck.execute(entry.TEXT_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    want = sorted((tuple(r[names.index(c)] for c in columns) for r in result.fetchall()), key=repr)
+    assert len(got) == len(want) > 0
+    for a, b in zip(got, want):
+        assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9)) for x, y in zip(a, b)), (a, b)
