@@ -1,17 +1,21 @@
 """Vectorised 64-bit hashes of words and word shingles for many texts at once.
 
-A word's hash is a polynomial over a fixed random value for each byte, mixed; a shingle's hash combines its words'.
-Two different shingles of two texts collide with a chance of 2^-64.
+A word's hash adds up a random value for each pair of place and byte (tabulation), so that two words whose bytes differ
+anywhere have the same one with a chance of 2^-64; the table is random but fixed, so that runs agree. Words of more than
+``SPAN`` bytes are hashed whole by XXH3. A shingle's hash combines its words'.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # lower-cases A-Z
-_R = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that have random values of their own by place.
+SPAN = 64
+_TABLE = _rng.integers(0, 2**64 - 1, (SPAN, 256), dtype=np.uint64, endpoint=True)
+_TABLE[:, ord("A") : ord("Z") + 1] = _TABLE[:, ord("a") : ord("z") + 1]  # lower-cases A-Z
+_TABLE = _TABLE.ravel()
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Everything but ASCII letters and digits and what isn't ASCII.
@@ -27,20 +31,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes whose words are hashed at once.
-PIECE = 2_000_000
-_powers = np.ones(1, np.uint64)
-
-
-def _power(n: int) -> np.ndarray:
-    """R^0 .. R^(n-1), kept up to a length that ordinary words have."""
-    global _powers
-    if n > len(_powers):
-        with np.errstate(over="ignore"):
-            longer = np.cumprod(np.full(max(n, 4096), _R, np.uint64)) * np.uint64(0x2545F4914F6CDD1D)
-        if n > 65536:
-            return longer
-        _powers = longer
-    return _powers[:n]
+PIECE = 1_000_000
 
 
 def word_spans(texts: list[bytes], blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +66,17 @@ def _spans_of(data: np.ndarray, at: int, blanks: np.ndarray) -> tuple[np.ndarray
     if not len(begins):
         return begins, ends, np.zeros(0, np.uint64)
     lengths = ends - begins
+    starts = np.cumsum(lengths) - lengths
+    chars = data[inner]
+    place = np.arange(len(chars)) - np.repeat(starts, lengths)
+    cell = np.minimum(place, SPAN - 1, out=place)
+    cell <<= 8
+    cell += chars
     with np.errstate(over="ignore"):
-        chars = _BYTE[data[inner]]
-        starts = np.cumsum(lengths) - lengths
-        chars *= _power(int(lengths.max()))[np.arange(len(chars)) - np.repeat(starts, lengths)]
-        return begins + at, ends + at, mixed(np.add.reduceat(chars, starts) + lengths.astype(np.uint64))
+        hashes = mixed(np.add.reduceat(_TABLE[cell], starts) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > SPAN).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]].tobytes().lower())
+    return begins + at, ends + at, hashes
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
