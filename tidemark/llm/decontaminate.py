@@ -17,7 +17,11 @@ sought among the narrow or the wide ones by its length, a long item by its parts
    common subsequence holds ``SURE`` of the item's words, or ``LIKELY`` of them and the answer (the item's last sentence)
    almost whole.
 
-The benchmark is the stated query set: it is held on the driver and broadcast, its size is checked (MOST_ITEMS).
+The benchmark is the stated query set. Its items are held on the driver and broadcast, ITEMS_AT_ONCE or so of them: a larger
+benchmark is dealt into parts by hash, and the documents are searched for one part after another.
+
+A score is a cosine times a share, so a passage whose share is below ``LEAST_COSINE`` isn't projected at all; that changes
+no result. Products of passages and items are made in blocks of BLOCK_CELLS.
 
 Defined cases: null, empty and termless texts match nothing, items without terms are skipped; a (doc_id, item) is
 reported once, with its best match; equal rows match alike; null ids are reported as null; empty tables give an empty
@@ -26,6 +30,7 @@ result. Columns besides doc_id and text pass through ``without_leaks``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +52,9 @@ OTHER = 0.5
 #: The rarest terms of an item's part, of which a passage shares half or more to be a candidate by them.
 ANCHORS = 8
 SURE, LIKELY, ANSWER = 0.75, 0.55, 0.8
-MOST_ITEMS = 200_000
+ITEMS_AT_ONCE = 50_000
+#: Cells of a block of products of passages and items (4 bytes each).
+BLOCK_CELLS = 2_000_000
 #: Up to so many candidates their ids and places (16 bytes each) are broadcast to pick texts; beyond, texts are joined.
 MOST_BROADCAST = 500_000
 
@@ -76,9 +83,8 @@ def _answer(text: bytes) -> bytes:
 
 
 def read_benchmark(items: DataFrame) -> Benchmark:
-    rows = items.select("item_id", F.lower("text").alias("text")).filter("text IS NOT NULL").orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"the benchmark has more than {MOST_ITEMS} items: split it")
+    """The items of a part, which a driver can hold."""
+    rows = items.select("item_id", F.lower("text").alias("text")).filter("text IS NOT NULL").orderBy("item_id", "text").collect()
     texts = [r["text"].encode() for r in rows]
     tokens, answers = _hashed(texts), _hashed([_answer(t) for t in texts])
     known = [np.unique(t) for t in tokens]
@@ -121,7 +127,10 @@ def found_terms(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (inside, term)]
             yield pa.RecordBatch.from_arrays([ids, *lists, pa.array(np.diff(offsets))], names=["doc_id", "at", "term", "tokens"])
 
-    return common.stored(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, f"doc_id {kind}, at array<int>, term array<int>, tokens long"), "benchmark-terms")
+    found = common.in_arrow(docs.select("doc_id", F.lower("text").alias("text")), run, f"doc_id {kind}, at array<int>, term array<int>, tokens long")
+    found = common.stored(found, "benchmark-terms")
+    shared.unpersist()
+    return found
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +161,7 @@ def frequencies(found: DataFrame, n_terms: int) -> np.ndarray:
             total[n_terms] += len(blocks)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "n"])
 
-    sums = found.select("at", "term").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sums = common.in_arrow(found.select("at", "term"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(n_terms + 1)
     count[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     return np.log((1 + count[n_terms]) / (1 + count[:n_terms])) + 1
@@ -178,13 +187,36 @@ def _weighted(number: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np
     return first, term, value / np.repeat(norm, np.diff(np.append(first, len(row)))), norm, np.add.reduceat(times, first) if len(first) else first
 
 
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of ``first`` up to the next, none without a row: eight are added up at a time, then their sums."""
+    sizes = np.diff(np.append(first, len(rows)))
+    pieces = -(-sizes // 8)
+    of, heads = np.repeat(np.arange(len(first)), pieces), np.cumsum(pieces) - pieces
+    begin = first[of] + 8 * (np.arange(len(of)) - heads[of])
+    length = np.minimum(8, (first + sizes)[of] - begin)
+    order = np.argsort(-length, kind="stable")
+    begin = begin[order]
+    total = rows[begin]
+    for k in range(1, 8):
+        n = int((length > k).sum())
+        if not n:
+            break
+        total[:n] += rows[begin[:n] + k]
+    out = np.empty_like(total)
+    out[order] = total
+    return out if len(of) == len(first) else _sums(out, heads)
+
+
 def _projected(first: np.ndarray, term: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Rows times ``basis``, some rows at a time."""
     out, ends = np.zeros((len(first), basis.shape[1]), np.float32), np.append(first, len(term))
-    for a in range(0, len(first), 4096):
-        b = min(a + 4096, len(first))
+    value = value.astype(np.float32)
+    for a in range(0, len(first), 1024):
+        b = min(a + 1024, len(first))
         part = slice(ends[a], ends[b])
-        out[a:b] = np.add.reduceat(basis[term[part]] * value[part, None].astype(np.float32), first[a:b] - ends[a], axis=0)
+        rows = basis[term[part]]
+        rows *= value[part, None]
+        out[a:b] = _sums(rows, first[a:b] - ends[a])
     return out
 
 
@@ -205,10 +237,13 @@ def singular_vectors(found: DataFrame, idf: np.ndarray, seed: int = 5) -> np.nda
             first, term, value, _, _ = _weighted(*_windows(row, block, term, WIDE)[1:], shared.value)
             rows = _projected(first, term, value, gauss)
             owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term))))
-            for a in range(0, len(term), 100_000):
-                some = a + np.argsort(term[a : a + 100_000], kind="stable")
+            value = value.astype(np.float32)
+            for a in range(0, len(term), 20_000):
+                some = a + np.argsort(term[a : a + 20_000], kind="stable")
                 head = np.flatnonzero(np.concatenate([[True], np.diff(term[some]) > 0]))
-                total[term[some[head]]] += np.add.reduceat(rows[owner[some]] * value[some, None].astype(np.float32), head, axis=0)
+                weighted = rows[owner[some]]
+                weighted *= value[some, None]
+                total[term[some[head]]] += _sums(weighted, head)
         touched = np.flatnonzero(total.any(1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(touched) + 1) * total.shape[1], pa.int32()), pa.array(total[touched].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(touched), lists], names=["term", "sums"])
@@ -218,8 +253,9 @@ def singular_vectors(found: DataFrame, idf: np.ndarray, seed: int = 5) -> np.nda
             rows = group.column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
             yield pa.RecordBatch.from_arrays([group.column("term").combine_chunks()[:1], pa.array([rows.sum(0, dtype=np.float64).astype(np.float32)])], names=["term", "sums"])
 
-    parts = found.select("at", "term").mapInArrow(run, "term long, sums array<float>")
+    parts = common.in_arrow(found.select("at", "term"), run, "term long, sums array<float>")
     sums = parts.repartition("term").sortWithinPartitions("term").mapInArrow(add, "term long, sums array<float>").toArrow()
+    shared.unpersist()
     gauss, sketch = _gaussian(n_terms, seed).astype(np.float64), np.zeros((n_terms, RANK + SPARE))
     if sums.num_rows:
         sketch[sums.column("term").to_numpy()] = sums.column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(sums.num_rows, -1)
@@ -295,20 +331,32 @@ def candidates(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.nd
                 first, terms, value, norm, times = _weighted(number, terms, idf)
                 inside = np.minimum(width * BLOCK, tokens[key // _ROW] - (key % _ROW) * (width // 2) * BLOCK)
                 share = norm / np.sqrt(norm**2 + other * np.maximum(inside - times, 0))
-                for a in range(0, len(key), 65536):
-                    b = min(a + 65536, len(key))
-                    end = first[b] if b < len(first) else len(terms)
-                    some = slice(first[a], end)
-                    near = (_unit(_projected(first[a:b] - first[a], terms[some], value[some], basis)) * share[a:b, None].astype(np.float32)) @ wanted.T
-                    chosen, here = near >= least, (spot >= a) & (spot < b)
+                worth = share >= least
+                worth[spot] = True
+                kept, renumbered = np.flatnonzero(worth), np.cumsum(worth) - 1
+                entry = np.repeat(worth, np.diff(np.append(first, len(terms))))
+                sizes = np.diff(np.append(first, len(terms)))[kept]
+                first, terms, value = np.cumsum(sizes) - sizes, terms[entry], value[entry]
+                key, share, spot = key[kept], share[kept].astype(np.float32), renumbered[spot]
+                rows = max(1, min(4096, BLOCK_CELLS // len(items)))
+                by_spot = np.argsort(spot, kind="stable")
+                spot, part = spot[by_spot], part[by_spot]
+                for a in range(0, len(key), rows):
+                    b = min(a + rows, len(key))
+                    some = slice(first[a], first[b] if b < len(first) else len(terms))
+                    near = (_unit(_projected(first[a:b] - first[a], terms[some], value[some], basis)) * share[a:b, None]) @ wanted.T
+                    chosen, here = near >= least, slice(*np.searchsorted(spot, (a, b)))
                     chosen[spot[here] - a, part[here]] = True
                     p, q = np.nonzero(chosen)
                     place = (key[a:b][p] % _ROW) * (width // 2) * BLOCK
-                    columns = [batch.column(0).take(pa.array(key[a:b][p] // _ROW)), pa.array(items[q]), pa.array(place), pa.array(np.full(len(p), width * BLOCK)), pa.array(near[p, q].astype(np.float64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item", "place", "width", "cosine"])
+                    if len(p):
+                        columns = [batch.column(0).take(pa.array(key[a:b][p] // _ROW)), pa.array(items[q]), pa.array(place), pa.array(np.full(len(p), width * BLOCK)), pa.array(near[p, q].astype(np.float64))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item", "place", "width", "cosine"])
 
     schema = f"doc_id {kind}, item long, place long, width long, cosine double"
-    return common.stored(found.select("doc_id", "at", "term", "tokens").mapInArrow(run, schema), "leak-candidates")
+    near = common.stored(common.in_arrow(found.select("doc_id", "at", "term", "tokens"), run, schema), "leak-candidates")
+    shared.unpersist()
+    return near
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -358,12 +406,11 @@ def confirmed(docs: DataFrame, found: DataFrame, bench: Benchmark) -> DataFrame:
                 columns = [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.float64()) for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item", "cosine", "overlap", "answer"])
 
-    found = rows.mapInArrow(run, f"doc_id {kind}, item long, cosine double, overlap double, answer double")
+    found = common.in_arrow(rows, run, f"doc_id {kind}, item long, cosine double, overlap double, answer double")
     return found.groupBy("doc_id", "item").agg(F.max("cosine").alias("cosine"), F.max("overlap").alias("overlap"), F.max("answer").alias("answer"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, least_cosine: float = LEAST_COSINE) -> DataFrame:
-    """(doc_id, item_id, cosine, overlap, answer): documents that hold a benchmark item, verbatim or paraphrased."""
+def _leaks_of(docs: DataFrame, items: DataFrame, least_cosine: float) -> DataFrame:
     spark = docs.sparkSession
     bench = read_benchmark(items)
     names = spark.createDataFrame([(i, x) for i, x in enumerate(bench.ids)], f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")
@@ -375,6 +422,15 @@ def leaks(docs: DataFrame, items: DataFrame, *, least_cosine: float = LEAST_COSI
     return confirmed(docs, near, bench).join(F.broadcast(names), "item").select("doc_id", "item_id", "cosine", "overlap", "answer")
 
 
+def leaks(docs: DataFrame, items: DataFrame, *, least_cosine: float = LEAST_COSINE, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """(doc_id, item_id, cosine, overlap, answer): documents that hold a benchmark item, verbatim or paraphrased."""
+    parts = -(-items.count() // items_at_once) or 1
+    if parts == 1:
+        return _leaks_of(docs, items, least_cosine)
+    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    return functools.reduce(DataFrame.union, [_leaks_of(docs, items.filter(of == n), least_cosine) for n in range(parts)])
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item; those without an id stay."""
     return common.without(docs, leaks(docs, items, **options).select("doc_id"))
