@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
+import ctypes
+import re
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,33 +22,79 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scratch: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; the application's scratch tables are deleted when its Python ends."""
+    root = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if root not in _scratch:
+        _scratch.add(root)
+        atexit.register(_at_exit, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
-    """Cut the lineage of ``df`` by a Parquet table in the shared folder, which survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+def _at_exit(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        drop_path(spark, root)
+
+
+#: Settings while a table is written: the shuffle files of its plan go when it is done, and Python gets its input in batches of a few MB.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, path: str, *, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and read it."""
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    with writing(df.sparkSession):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when their objects are collected."""
-    for _ in range(2):  # what Python lets go of is free in the JVM a moment later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
+    """Cut the lineage of ``df`` by a Parquet table in the shared folder, which survives lost executors."""
+    return written(df, scratch_path(df.sparkSession, name), by=by)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, after which a worker, which lives on for other tasks, gives its free memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Give memory that is free inside this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -129,9 +177,30 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 MOST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ``ids`` (one column, doc_id), which are few enough to broadcast or joined."""
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents whose ``key`` is not among ``ids`` (one column, doc_id), which are few enough to broadcast or joined."""
     gone = stored(ids.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-ids")
     if gone.count() <= MOST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a column that names each one, and the column's name.
+
+    The name of a document is its doc_id. Rows without one, or with one that other rows have too, are named by a hash of
+    doc_id and text, beyond all ids, and of rows that are equal in both one stays.
+    """
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    shared = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "shared-ids")
+    n, own = shared.count(), F.col("doc_id").cast("long")
+    if not n:
+        return docs.withColumn(name, own), name
+    if n <= MOST_IDS:
+        shared = F.broadcast(shared)
+    same = docs["doc_id"].eqNullSafe(shared["_id"])
+    code = F.lit(2**63 - 1) - F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**61))
+    once = docs.join(shared, same, "left_semi").withColumn(name, code).dropDuplicates([name])
+    return docs.join(shared, same, "left_anti").withColumn(name, own).union(once), name

@@ -17,7 +17,6 @@ the order of (hash of text, text); null ids come first; an empty table gives no
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +32,21 @@ from .shingles import word_spans
 END_ID = 1
 CACHE_WORDS = 1_500_000
 ROW_GROUP = 1000
+#: Bytes of a stripe: what a reader takes as one piece, and what a writer holds in memory.
+STRIPE = 16_000_000
 
-_WHOLE = re.compile(rb"<\||[\xcc\xcd]")
-_PLAIN = re.compile(rb"[a-z]+[.,]?")
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_POINT[[ord("."), ord(",")]] = True
 #: Words that the library gets in one call.
 CALL_WORDS = 2000
 
 
+def _goes_whole(text: bytes) -> bool:
+    """Whether a text may hold a special token or a combining mark (U+0300 to U+036F)."""
+    return b"<|" in text or b"\xcc" in text or b"\xcd" in text
+
+
 class WordEncoder:
     """Ids of whole texts by way of their words; keeps the ids of up to ``limit`` words (about 25 bytes each)."""
 
@@ -58,46 +65,43 @@ class WordEncoder:
         self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1024, np.int32), 0
 
-    def _one_by_one(self, words: list[bytes]) -> list[np.ndarray]:
-        found = []
-        for at in range(0, len(words), CALL_WORDS):
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in words[at : at + CALL_WORDS]], add_special_tokens=False)
-            found += [np.array(x.ids, np.int32) for x in coded]
-        return found
-
-    def _together(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of plain words, encoded many at once: a unit of letters or a mark ends with an id that ends a unit."""
-        found: list[np.ndarray] = []
-        for at in range(0, len(words), CALL_WORDS):
-            some = words[at : at + CALL_WORDS]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.int32)
-            units = np.fromiter((1 + (w[-1] in b".,") for w in some), np.int64, len(some))
-            ends = np.flatnonzero(self.ends_unit[ids])
-            found += np.split(ids, ends[np.cumsum(units)[:-1] - 1] + 1) if len(ends) == units.sum() else self._one_by_one(some)
-        return found
-
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Take up new words by their sorted keys."""
-        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
-        coded = np.empty(len(words), object)
-        for mask, code in ((plain, self._together), (~plain, self._one_by_one)):
-            some = np.flatnonzero(mask)
-            for i, ids in zip(some.tolist(), code([words[i] for i in some]), strict=True):
-                coded[i] = ids
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of ids of each)."""
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         counts = np.fromiter(map(len, coded), np.int32, len(coded))
-        flat = np.concatenate(list(coded))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
+        return np.fromiter((i for x in coded for i in x), np.int32, int(counts.sum())), counts
+
+    def _together(self, words: list[bytes], units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain words, encoded many at once: each unit, of letters or a mark, ends with an id that ends a unit."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int32)
+        ends = np.flatnonzero(self.ends_unit[ids])
+        if len(ends) != units.sum() or ends[-1] + 1 != len(ids):
+            return self._one_by_one(words)
+        return ids, np.diff(ends[np.cumsum(units) - 1] + 1, prepend=0).astype(np.int32)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Take up new words, by their sorted keys and places in ``data``."""
+        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        marked = _POINT[data[ends - 1]] & (ends - begins > 1)
+        stems = ends - marked
+        plain = letters[stems] - letters[begins] == stems - begins
+        raw, starts, counts = data.tobytes().lower(), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        for some in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            for at in range(0, len(some), CALL_WORDS):
+                part = some[at : at + CALL_WORDS]
+                words = [raw[a:b] for a, b in zip(begins[part].tolist(), ends[part].tolist(), strict=True)]
+                ids, n = self._together(words, 1 + marked[part]) if plain[part[0]] else self._one_by_one(words)
+                while self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.int32)])
+                self.ids[self.used : self.used + len(ids)] = ids
+                starts[part], counts[part] = self.used + np.cumsum(n, dtype=np.int64) - n, n
+                self.used += len(ids)
         at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.starts = np.insert(self.starts, at, self.used + np.cumsum(counts, dtype=np.int64) - counts)
-        self.counts = np.insert(self.counts, at, counts)
-        self.used += len(flat)
+        self.keys, self.starts, self.counts = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each)."""
-        whole = [i for i, x in enumerate(texts) if _WHOLE.search(x)]
+        whole = [i for i, x in enumerate(texts) if _goes_whole(x)]
         if whole:
             held = set(whole)
             rest, counts = self.encode([b"" if i in held else x for i, x in enumerate(texts)])
@@ -112,8 +116,7 @@ class WordEncoder:
             self._clear()
             new[:] = True
         if new.any():
-            raw = data.tobytes().lower()
-            self._learn(keys[new], [raw[begins[i] : ends[i]] for i in first[new].tolist()])
+            self._learn(keys[new], data, begins[first[new]], ends[first[new]])
         at = np.searchsorted(self.keys, keys)
         counts = self.counts[at][place].astype(np.int64)
         upto = np.cumsum(counts)
@@ -167,7 +170,7 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID, by_word:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return common.in_arrow(docs.select("doc_id", "text"), run, fields)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = END_ID, by_word: bool = True) -> None:
@@ -176,8 +179,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int =
     rows = docs.select("doc_id", "text", tie.alias("_tie"), F.rand(0).alias("_salt"))  # the salt spreads equal rows
     rows = rows.repartitionByRange("doc_id", "_tie", "_salt").sortWithinPartitions("doc_id", "_tie", "text")
     coded = encoded(rows, tokenizer_json, end_id, by_word)
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_GROUP), "compression": "zstd"}
-    coded.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids").write.options(**options).orc(path)
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_GROUP), "orc.stripe.size": str(STRIPE), "compression": "zstd"}
+    with common.writing(docs.sparkSession):
+        coded.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids").write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +205,7 @@ def digests(tokens: DataFrame) -> DataFrame:
                 names=["seq", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    rows = tokens.select("seq", "doc_id", "ids").mapInArrow(run, fields).withColumn("_chunk", F.shiftright("seq", 33))
+    rows = common.in_arrow(tokens.select("seq", "doc_id", "ids"), run, fields).withColumn("_chunk", F.shiftright("seq", 33))
     rows = common.stored(rows, "token-digests")
     placed = common.running_start(rows, [], "_chunk", [F.col("seq")], "n_tokens", "start")
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
