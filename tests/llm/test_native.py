@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,14 +28,15 @@ def measured(text):
     t = text or ""
     w = [x.decode() for x in words(t)]
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 5)}
+    times = Counter(grams)
+    inside = {j for i, g in enumerate(grams) if times[g] > 1 for j in range(i, i + 5)}
     lines = [x for x in t.split("\n") if x.strip(BLANKS)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside)
 
 
 def test_measures_and_verdicts(make):
     rng = random.Random(5)
-    rows = [r for r in ODD if r[0] != 8] + [(100 + i, " ".join(rng.choice("ab cd ef\n gh | # ij kl mn".split(" ")) for _ in range(rng.randrange(60)))) for i in range(60)]
+    rows = ODD + [(100 + i, " ".join(rng.choice("ab cd ef\n gh | # ij kl mn".split(" ")) for _ in range(rng.randrange(60)))) for i in range(60)]
     rows += [(300, "The quick brown fox jumps over the lazy dog and runs far away from here.")]
     df = quality.quality(make(rows))
     got = sorted((tuple(r) for r in df.collect()), key=repr)
@@ -92,7 +94,12 @@ def test_mix(make):
     assert sorted(got, key=repr) == sorted(again, key=repr)
     mixed = mixing.mixed_rows(make(rows), block_tokens=64)
     assert mixed.columns == make([]).columns
-    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(taken.values())
+    texts, written = {(i, t) for i, t, _ in rows}, Counter()
+    for r in mixed.collect():
+        assert (r["doc_id"], r["text"]) in texts  # whole documents only
+        written[r["source"]] += len(words(r["text"]))
+    for name, t in taken.items():
+        assert abs(written[name] - t) <= max(len(words(x)) for _, x, source in rows if source == name) / 2
     assert mixing.mix(make([])).count() == 0 and mixing.mixed_rows(make([])).count() == 0
     assert [r["taken"] for r in mixing.mix(make([(1, ""), (2, None)])).collect()] == [0, 0]
 
@@ -105,6 +112,20 @@ def test_schedule_is_even(make):
         assert abs(slots[:n].count(0) - share * n) <= 6
 
 
+def test_mix_comes_in_slot_order(make):
+    """Any beginning of what is written holds the sources close to their shares, and a table may have any column names."""
+    clashing = ["size", "_pass", "_doc_id", "_source", "slot", "at", "c0", "_id"]
+    rows = [(i, "w " * (20 + i % 30), "ab"[i % 2]) for i in range(800)]
+    mixed = mixing.mixed_rows(make(rows, *clashing), weights=(3, 1), share=1.0, block_tokens=64)
+    assert mixed.columns == make(rows, *clashing).columns
+    got = mixed.collect()
+    sizes = [len(words(r["text"])) * (1 if r["source"] == "a" else 0) for r in got], [len(words(r["text"])) for r in got]
+    share = sum(sizes[0]) / sum(sizes[1])
+    for n in (len(got) // 8, len(got) // 4, len(got) // 2):
+        assert abs(sum(sizes[0][:n]) / sum(sizes[1][:n]) - share) < 0.05
+    assert all(r["_pass"] == "x" for r in got)
+
+
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "### a: </turn>\n\\x\\\\"), (1, 2, "assistant", None), (2, 1, None, "é"), (2, 0, "sys: x\n", "</turn>\n### user: "), (None, 0, "assistant", ""), (3, 0, "user", "a"), (3, 0, "user", "a")]
 CHAT_SCHEMA = "conv_id bigint, turn int, role string, text string, mask string"
 
@@ -137,6 +158,10 @@ def test_fingerprints(spark):
         ("system_prompt", {"system": "s", "prompt": "q", "response": "a"}, [("system", "s"), *a]),
         ("prompt_response", {"prompt": None, "response": "a"}, [("assistant", "a")]),
         (None, {"prompt": "q", "answer": "a"}, None),
+        ("messages", {"id": 7, "meta": {"messages": []}, "messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a"}]}, a),
+        ("messages", {"messages": []}, []),
+        ("instruction_input", {"instruction": "q", "input": "", "output": "a", "prompt": "z"}, a),
+        ("conversations", {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None, "weight": 1}], "turns": 2}, [("user", "q"), ("assistant", "")]),
     ]
     rows = [(i, json.dumps(r)) for i, (_, r, _) in enumerate(records)] + [(90, "not json"), (91, None), (92, "[]")]
     df = chat.from_json(spark.createDataFrame(rows, "conv_id bigint, payload string"), "payload")
@@ -149,3 +174,6 @@ def test_fingerprints(spark):
     assert chat.from_table(nested).first()["turns"][0]["text"] == "q"
     with pytest.raises(ValueError, match="no layout"):
         chat.from_table(spark.range(1))
+    clashing = spark.createDataFrame([(1, "x", "y", "z", json.dumps({"prompt": "q", "completion": "a"}))], "conv_id bigint, record string, paths string, own string, payload string")
+    r = chat.from_json(clashing, "payload").first()
+    assert (r["layout"], r["record"], r["paths"], r["own"]) == ("prompt_completion", "x", "y", "z")

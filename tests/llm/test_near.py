@@ -12,7 +12,7 @@ from tidemark.llm import shingles as shingles_module
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_sets, word_hashes
 
-from oddities import ODD
+from oddities import ODD, thue_morse
 
 
 def shingles(text, size):
@@ -91,7 +91,7 @@ def test_pairs_lose_no_link(make, monkeypatch, block):
 
 
 def test_odd_and_empty(make):
-    check(make, ODD, 4, 85)
+    check(make, ODD + [(30 + i, t) for i, t in enumerate(thue_morse(1024) * 2 + thue_morse(2048))], 4, 85)
     assert nearjoin.near_components(make([])).count() == 0
 
 
@@ -131,6 +131,17 @@ def test_words_and_shingles():
     assert np.diff(offsets).tolist() == [len(shingles(t.decode(), 4)) for t in texts]
 
 
+def test_words_that_polynomials_confuse():
+    words = [x.encode() for n in (32, 64, 65, 1024, 2048) for x in thue_morse(n)]
+    hashes, _ = word_hashes([*words, *(w.upper() for w in words)])
+    assert len(set(hashes.tolist())) == len(words) and hashes[: len(words)].tolist() == hashes[len(words) :].tolist()
+
+
+def test_ranges_grow(make, monkeypatch):
+    monkeypatch.setattr(nearjoin, "RANGE_SIGNATURES", 7)
+    check(make, corpus(5), 4, 85)
+
+
 def test_words_by_pieces(monkeypatch):
     texts = [b"some words of \t several lengths", b"", b"x" * 50 + b" y", b" "]
     whole = shingles_module.word_spans(texts)

@@ -1,8 +1,10 @@
 """Chat formatting: schema fingerprints select mappings to canonical turns, which a template turns into text with a loss mask.
 
-A fingerprint is the hash of a layout's nested field paths, types left out. Typed tables have theirs in their schema;
-JSON records have one each (through the variant type), so that one column may mix layouts. ``LAYOUTS`` maps
-fingerprints to mappings that say where turns, roles and texts are. Records of no known layout give null turns.
+A fingerprint is the hash of sorted nested field paths, types left out. Typed tables have their paths in their schema;
+JSON records have theirs each (through the variant type), so that one column may mix layouts. A table or record is held
+against a layout by the fingerprint of those of its paths that the layout knows, so further fields don't matter; of several
+that fit, the one with most fields counts. ``LAYOUTS`` and ``TABLES`` say where turns, roles and texts are. A record with
+an empty list of turns has none; records of no known layout give null turns, and tables of none raise ValueError.
 
 The template writes a turn as ``### role: text</turn>`` and a line feed. Where a control string occurs inside a text, a
 backslash is put after its first character, and backslashes are doubled; so no text can end or begin a turn, and
@@ -15,6 +17,8 @@ columns besides those a layout names are ignored. A conversation becomes one str
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +37,8 @@ class Listed:
     text: str
     roles: tuple[tuple[str, str], ...] = ()
 
-    def paths(self) -> str:
-        return f"OBJECT<{self.path}: ARRAY<OBJECT<{', '.join(sorted((self.role, self.text)))}>>>"
+    def paths(self) -> list[str]:
+        return sorted((f"{self.path}[]", f"{self.path}[].{self.role}", f"{self.path}[].{self.text}"))
 
     def turns(self, record: Column) -> Column:
         kind = f"array<struct<`{self.role}`:string,`{self.text}`:string>>"
@@ -55,8 +59,8 @@ class Flat:
 
     parts: tuple[tuple[str, tuple[str, ...]], ...]
 
-    def paths(self) -> str:
-        return f"OBJECT<{', '.join(sorted(f for _, fields in self.parts for f in fields))}>"
+    def paths(self) -> list[str]:
+        return sorted(f for _, fields in self.parts for f in fields)
 
     def turns(self, record: Column) -> Column:
         made = []
@@ -81,25 +85,43 @@ LAYOUTS: dict[str, Listed | Flat] = {
 
 
 def _fingerprint(paths: Column) -> Column:
-    return F.xxhash64(paths)
+    return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
-def record_fingerprint(record: Column) -> Column:
-    """Hash of the field paths of a variant: its schema without the types of its leaves."""
-    leaf = r": (?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?"
-    return _fingerprint(F.regexp_replace(F.schema_of_variant(record), leaf, ""))
+def _each_after(head: str, names: Column) -> Column:
+    return F.transform(names, lambda x: F.concat(F.lit(head), x))
+
+
+def record_paths(record: Column, lists: list[str]) -> Column:
+    """The field paths of a variant: its own fields, and those inside the objects of the named lists."""
+    keys = lambda x: F.coalesce(F.json_object_keys(F.to_json(x)), F.array().cast("array<string>"))
+    found = [keys(record)]
+    for name in lists:
+        items = F.try_variant_get(record, f"$.{name}", "array<variant>")
+        inner = F.array_distinct(F.flatten(F.transform(items, keys)))
+        paths = F.concat(F.array(F.lit(f"{name}[]")), _each_after(f"{name}[].", inner))
+        found.append(F.coalesce(paths, F.array().cast("array<string>")))
+    return F.concat(*found)
 
 
 def from_json(records: DataFrame, payload: str, layouts: dict[str, Listed | Flat] | None = None) -> DataFrame:
     """The records with ``layout`` (its name, null where unknown) and ``turns`` (canonical) instead of the JSON column."""
     layouts = LAYOUTS if layouts is None else layouts
-    rows = records.withColumn("_record", F.try_parse_json(payload)).withColumn("_print", record_fingerprint(F.col("_record")))
+    lists = [x.path for x in layouts.values() if isinstance(x, Listed)]
+    own = [c for c in records.columns if c != payload]
+    record = F.try_parse_json(F.col(f"`{payload}`"))
+    rows = records.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), record.alias("record")) if own else records.select(record.alias("record"))
+    rows = rows.withColumn("paths", record_paths(F.col("record"), lists))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for key, layout in layouts.items():
-        known = F.col("_print") == _fingerprint(F.lit(layout.paths()))
+    for key, layout in sorted(layouts.items(), key=lambda x: len(x[1].paths())):  # what has more fields comes later and prevails
+        wanted = F.array(*map(F.lit, layout.paths()))
+        mine = _fingerprint(F.array_intersect("paths", wanted))
+        known = mine == _fingerprint(wanted)
+        if isinstance(layout, Listed):
+            known = known | ((mine == _fingerprint(F.array(F.lit(f"{layout.path}[]")))) & (F.size(F.try_variant_get("record", f"$.{layout.path}", "array<variant>")) == 0))
         name = F.when(known, F.lit(key)).otherwise(name)
-        turns = F.when(known, layout.turns(F.col("_record")).cast(TURNS)).otherwise(turns)
-    return rows.withColumn("layout", name).withColumn("turns", turns).drop("_record", "_print", payload)
+        turns = F.when(known, layout.turns(F.col("record")).cast(TURNS)).otherwise(turns)
+    return rows.select(*(F.col("own")[c].alias(c) for c in own if c not in ("layout", "turns")), name.alias("layout"), turns.alias("turns"))
 
 
 @dataclass(frozen=True)
@@ -111,6 +133,9 @@ class Rows:
     role: str
     text: str
 
+    def paths(self) -> list[str]:
+        return sorted((self.key, self.order, self.role, self.text))
+
 
 @dataclass(frozen=True)
 class Nested:
@@ -121,8 +146,11 @@ class Nested:
     role: str
     text: str
 
+    def paths(self) -> list[str]:
+        return sorted((self.key, f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"))
 
-#: Layouts of tables; a table has one if it has its field paths, whatever other columns it has.
+
+#: Layouts of tables.
 TABLES: dict[str, Rows | Nested] = {
     "turn_rows": Rows("conv_id", "turn", "role", "text"),
     "nested_messages": Nested("conv_id", "messages", "role", "content"),
@@ -138,17 +166,19 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def path_fingerprint(paths: Iterable[str]) -> str:
+    """Hash of the sorted field paths."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
 def table_layout(df: DataFrame, layouts: dict[str, Rows | Nested] | None = None) -> Rows | Nested:
-    """The layout whose fields the table has, the one with most fields first. Raises ValueError where there is none."""
-    have = set(schema_paths(df.schema))
-    wanted = {
-        name: {x.key, x.order, x.role, x.text} if isinstance(x, Rows) else {x.key, f"{x.turns}[].{x.role}", f"{x.turns}[].{x.text}"}
-        for name, x in (TABLES if layouts is None else layouts).items()
-    }
-    fits = [name for name in sorted(wanted, key=lambda n: (-len(wanted[n]), n)) if wanted[name] <= have]
-    if not fits:
-        raise ValueError(f"no layout has the fields of {sorted(have)}")
-    return (TABLES if layouts is None else layouts)[fits[0]]
+    """The layout whose fingerprint the table's paths, as far as the layout knows them, have; the one with most fields first."""
+    layouts, have = TABLES if layouts is None else layouts, set(schema_paths(df.schema))
+    known = {path_fingerprint(x.paths()): x for x in layouts.values()}
+    found = [known.get(path_fingerprint(have.intersection(x.paths()))) for x in sorted(layouts.values(), key=lambda x: (-len(x.paths()), x.paths()))]
+    for layout in filter(None, found):
+        return layout
+    raise ValueError(f"no layout has the fields of {sorted(have)}")
 
 
 def from_table(df: DataFrame) -> DataFrame:

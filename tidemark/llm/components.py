@@ -18,16 +18,16 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``links`` (u, v) reaches, itself included.
 
     Every round is written to the shared folder, so that lineage stays short; rounds grow with the logarithm of the
-    longest path. Links with a null end and links of a node to itself are left out.
+    longest path, and there are as many as it takes. Links with a null end and links of a node to itself are left out.
     """
     spark = links.sparkSession
     now = common.stored(links.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         large = _least_neighbour(_both_ways(now)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = _least_neighbour(down)
@@ -37,7 +37,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(found) == mark:
             break
         mark = tuple(found)
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

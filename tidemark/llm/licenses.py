@@ -1,17 +1,19 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and templates that confirm what it says.
 
-A paragraph is a line. Its features are its words and pairs of words; a multinomial logistic regression with L2 penalty
+A paragraph is a line, or several that a notice is wrapped over: consecutive lines that each share a pair of words with a
+template, up to one that ends a sentence. Its features are its words and pairs of words; a multinomial logistic regression with L2 penalty
 tells licence families and ``unknown`` apart. It is trained here: paragraphs of each family are made from its notices
 (whole, in parts, with words dropped or put in, with other wording around its names); paragraphs of ``unknown`` are made
-from sentences about licences of other kinds and taken from at most ``sample_rows`` documents, lines that name no
-licence. Probabilities are calibrated by a temperature on a part held back from training. A prediction stands where its
+from sentences about licences of other kinds and, unlabelled, from whole lines that name no licence: at most ``SAMPLE_LINES``,
+those with the least hashes, of ``sample_rows`` documents. Both are bounds of the training sample only. Probabilities are calibrated by a temperature on a part held back from training. A prediction stands where its
 probability reaches ``least`` and the paragraph has most of its pairs in common with one of the family's templates.
 
 Only what a template confirms stands, so paragraphs that share no pair of words with any template are unknown without
 being classified; that changes no result.
 
 Defined cases: null, empty and blank texts have no licence; equal rows get equal results; several families in one
-document are all listed, the first of the most probable is ``family``; an empty table gives an empty result. Only doc_id
+document are all listed, one for each paragraph, the first of the most probable is ``family``; n_paragraphs counts lines and a
+paragraph's number is that of its first line; an empty table gives an empty result. Only doc_id
 and text are read.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "unknown"
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS, SAMPLE_LINES = 1000, 4000
 LEAST, LEAST_SHARED = 0.7, 0.6
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9]+)*")
 
@@ -163,10 +165,15 @@ class Classifier:
                 best = max(best, both / max(3, min(len(own), len(shape))) if min(len(own), len(shape)) > 2 else both / min(len(own), len(shape)))
         return best
 
+    def anchored(self, line: bytes) -> bool:
+        """Whether a line shares a pair of words with any template."""
+        words = _words(line)
+        return not self.anchors.isdisjoint(zip(words, words[1:]))
+
     def classify(self, line: bytes, least: float = LEAST, least_shared: float = LEAST_SHARED) -> tuple[str, float, float] | None:
         """(family, probability, share) of a paragraph that is a licence; None where it is unknown."""
         words = _words(line)
-        if len(words) < 2 or self.anchors.isdisjoint(zip(words, words[1:])):
+        if len(words) < 2:
             return None
         p = self.probabilities(words)
         best = int(p.argmax())
@@ -235,12 +242,28 @@ def train(lines: list[str], *, seed: int = 11, per_notice: int = 3, held_back: f
     return Classifier(families, place, weights, bias, temperature, shapes)
 
 
-def sample_lines(docs: DataFrame, rows: int, most: int = 4000) -> list[str]:
-    """At most ``most`` lines, of about ``rows`` documents: those with the least hashes of their ids."""
+def sample_lines(docs: DataFrame, rows: int, most: int = SAMPLE_LINES) -> list[str]:
+    """At most ``most`` distinct lines of about ``rows`` documents, each by least hashes."""
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    lines = docs.join(F.broadcast(chosen), "doc_id").select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("line"))
-    lines = lines.select(F.substring("line", 1, 300).alias("line")).filter("line <> ''").distinct()
-    return [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(most).collect()]
+    lines = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
+    return [r["line"] for r in lines.filter("line <> ''").distinct().orderBy(F.xxhash64("line"), "line").limit(most).collect()]
+
+
+def paragraphs(lines: list[bytes], anchored: Callable[[bytes], bool]) -> Iterator[tuple[int, bytes]]:
+    """(number of the first line, text) of what may be a notice: lines that are ``anchored``, those of a sentence joined."""
+    held: list[bytes] = []
+    for i, line in enumerate(lines):
+        if not anchored(line):
+            if held:
+                yield i - len(held), b" ".join(held)
+            held = []
+            continue
+        held.append(line)
+        if line.rstrip()[-1:] in b".!?":
+            yield i + 1 - len(held), b" ".join(held)
+            held = []
+    if held:
+        yield len(lines) - len(held), b" ".join(held)
 
 
 def scan(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, least: float = LEAST) -> DataFrame:
@@ -256,8 +279,8 @@ def scan(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, least: float = LEAS
             for text in texts:
                 lines = text.split(b"\n") if text else []
                 sizes.append(len(lines))
-                for i, line in enumerate(lines):
-                    if found := classifier.classify(line, least):
+                for i, paragraph in paragraphs(lines, classifier.anchored):
+                    if found := classifier.classify(paragraph, least):
                         rows.append((i, *found))
                 ends.append(len(rows))
             values = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=fields)
@@ -265,7 +288,7 @@ def scan(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, least: float = LEAS
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), found], names=["doc_id", "n_paragraphs", "found"])
 
     schema = f"doc_id {kind}, n_paragraphs long, found array<struct<paragraph:int,family:string,probability:double,shared:double>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return common.in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def licenses(docs: DataFrame, **options) -> DataFrame:

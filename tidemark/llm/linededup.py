@@ -7,7 +7,8 @@ the next. A key that ``min_docs`` documents have is frequent, and a second pass
 
 Defined cases: a null or empty text is one empty line; keys of fewer than ``min_chars`` code points never go; every row
 counts as a document, also where rows repeat a doc_id; an empty table gives an empty result. A kept text is its kept
-lines joined by line feeds (empty where none is kept); other columns pass through.
+lines joined by line feeds (empty where none is kept); other columns pass through, whatever their names, but for n_lines and
+n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def line_counts(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
             yield handed_on()
 
     batch = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(batches)), F.lit(0)).cast("int")
-    return common.stored(docs.select(batch.alias("batch"), "text").mapInArrow(run, "batch int, hi long, lo long, n long"), "line-counts", by="batch")
+    return common.stored(common.in_arrow(docs.select(batch.alias("batch"), "text"), run, "batch int, hi long, lo long, n long"), "line-counts", by="batch")
 
 
 class LineRuns:
@@ -121,54 +122,59 @@ def _drop(text: bytes, gone, min_chars: int) -> tuple[bytes, int, int]:
 
 def without_lines(docs: DataFrame, frequent: DataFrame, min_chars: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The documents without lines whose keys are frequent, with n_lines and n_dropped."""
-    names = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "_kept string, _lines long, _gone long"])
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = [f"c{i}" for i in range(len(names))]  # no name of a document's column can clash
+    text, key = own[names.index("text")], own[names.index("doc_id")]
+    docs = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "kept string, lines long, gone long"])
     spark = docs.sparkSession
     frequent = common.stored(frequent, "frequent-lines")
     if frequent.count() <= most_broadcast:
         found = frequent.toArrow()
         pairs = zip(found.column("hi").to_pylist(), found.column("lo").to_pylist(), strict=True)
         shared = spark.sparkContext.broadcast(frozenset(a.to_bytes(8, "big", signed=True) + b.to_bytes(8, "big", signed=True) for a, b in pairs))
-        rows, own = docs, False
+        rows, own_keys = docs, False
     else:
-        rows, own, shared = docs.join(_own_keys(docs, frequent, min_chars), docs["doc_id"].eqNullSafe(F.col("_of")), "left").drop("_of"), True, None
+        rows, own_keys, shared = _with_own_keys(docs, key, text, frequent, min_chars), True, None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             at = 0
-            for keys, texts in common.text_slices([part], names[0]):
+            for keys, texts in common.text_slices([part], key, text):
                 some = part.slice(at, len(keys))
                 at += len(keys)
-                if own:
+                if own_keys:
                     gone = [{a.to_bytes(8, "big", signed=True) + b.to_bytes(8, "big", signed=True) for a, b in x or ()} for x in _pairs(some)]
                 else:
                     gone = [shared.value] * len(texts)
                 done = [_drop(t, g, min_chars) for t, g in zip(texts, gone, strict=True)]
                 made = [pa.array([x[0].decode() for x in done], pa.string()), *(pa.array([x[i] for x in done], pa.int64()) for i in (1, 2))]
-                columns = [some.column(some.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*names, "_kept", "_lines", "_gone"])
+                others = [c for c in own if c != text]
+                columns = [some.column(some.schema.get_field_index(c)) for c in others]
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*others, "kept", "lines", "gone"])
 
-    found = rows.mapInArrow(run, schema)
-    out = [F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*out, F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped"))
+    found = common.in_arrow(rows, run, schema)
+    out = [F.col("kept" if o == text else o).alias(c) for c, o in zip(names, own, strict=True)]
+    return found.select(*out, F.col("lines").alias("n_lines"), F.col("gone").alias("n_dropped"))
 
 
 def _pairs(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
     return [[(y["hi"], y["lo"]) for y in x or ()] for x in batch.column(batch.schema.get_field_index("_keys")).to_pylist()]
 
 
-def _own_keys(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFrame:
-    """(_of, _keys): the frequent keys that each document has."""
+def _with_own_keys(docs: DataFrame, key: str, text: str, frequent: DataFrame, min_chars: int) -> DataFrame:
+    """The documents with ``_keys``: the frequent keys that the rows of their id have."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.text_slices(parts, "doc_id"):
-            for i, text in enumerate(texts):
-                hi, lo = _halves(sorted({k for k in (_key(x, min_chars) for x in text.split(b"\n")) if k}))
+        for ids, texts in common.text_slices(parts, key, text):
+            for i, line_text in enumerate(texts):
+                hi, lo = _halves(sorted({k for k in (_key(x, min_chars) for x in line_text.split(b"\n")) if k}))
                 yield pa.RecordBatch.from_arrays([pa.repeat(ids[i], len(hi)), hi, lo], names=["_of", "hi", "lo"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.select("doc_id", "text").mapInArrow(run, f"_of {kind}, hi long, lo long")
-    return lines.join(frequent, ["hi", "lo"]).groupBy("_of").agg(F.collect_set(F.struct("hi", "lo")).alias("_keys"))
+    kind = docs.schema[key].dataType.simpleString()
+    lines = common.in_arrow(docs.select(key, text), run, f"_of {kind}, hi long, lo long")
+    keys = lines.join(frequent, ["hi", "lo"]).groupBy("_of").agg(F.collect_set(F.struct("hi", "lo")).alias("_keys"))
+    return docs.join(keys, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, most_broadcast: int = MOST_BROADCAST) -> DataFrame:

@@ -5,10 +5,11 @@ into blocks of ``block_tokens``. The schedule has one slot for each block that a
 van der Corput sequence: the bit-reversed slot number, mapped through the cumulative numbers of slots of the sources,
 names the slot's source, so that any stretch of the schedule holds the sources close to their shares. The slot's rank
 within its source names the block; ranks beyond the last block start over (a second pass). DataFrame functions only.
+``mix`` counts what is taken to the word; ``mixed_rows`` writes the mix out in the order of its slots, whole documents only.
 
 Defined cases: a null text has size 0; null sources form a source of their own, last in order; a document of size 0
 takes 0; rows that repeat a (doc_id, source) count as one document of their summed size; an empty table gives an empty
-result. Columns other than doc_id, text and source are not read.
+result. Columns other than doc_id, text and source are not read; ``mixed_rows`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql.window import Window
 from . import common
 
 BLOCK_TOKENS = 2048
+#: Up to so many taken documents (some 60 bytes each) are broadcast to pick their rows; more are joined.
+MOST_BROADCAST = 200_000
 #: Slots or documents whose order one window sorts at most (about).
 CHUNK = 4096
 
@@ -113,34 +116,38 @@ def laid_out(sizes: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
     """What the mix takes of each document: (doc_id, source, source_id, size, source_size, target, taken, passes).
 
-    ``taken`` counts words, repeats counted; ``passes`` is an array of the words taken in each pass that takes any,
-    always the document's first ones.
+    ``taken`` counts words, repeats counted; ``passes`` is an array of (slot, at, words) for each pass that takes any: the
+    first slot that does, the document's place in its source, and how many words, always the document's first ones.
     """
     sizes = common.stored(sized(docs), "mix-sizes")
     sources = common.stored(source_targets(sizes, weights, share, most), "mix-sources")
     slots = schedule(sources, block_tokens)
     placed = laid_out(sizes, sources, seed)
     pieces = placed.withColumn("block", F.expr(f"explode_outer(CASE WHEN size > 0 THEN sequence(at div {block_tokens}, (at + size - 1) div {block_tokens}) END)"))
-    joined = pieces.join(slots.select("source_id", "block", "pass", "take"), ["source_id", "block"], "left")
+    joined = pieces.join(slots.select("source_id", "block", "pass", "take", "slot"), ["source_id", "block"], "left")
     begin = F.greatest(F.col("at"), F.col("block") * block_tokens)
     end = F.least(F.col("at") + F.col("size"), F.col("block") * block_tokens + F.col("take"))
     joined = joined.withColumn("_taken", F.when(F.col("take").isNull(), F.lit(0)).otherwise(F.greatest(end - begin, F.lit(0))))
     keys = ["doc_id", "source", "source_id", "size", "source_size", "target"]
-    by_pass = joined.groupBy(*keys, "pass").agg(F.sum("_taken").alias("_taken"))
-    of_pass = F.collect_list(F.when(F.col("_taken") > 0, F.struct("pass", F.col("_taken").alias("words"))))
+    first = F.min(F.when(F.col("_taken") > 0, F.col("slot"))).alias("slot")
+    by_pass = joined.groupBy(*keys, "pass").agg(F.sum("_taken").alias("_taken"), first, F.min("at").alias("at"))
+    of_pass = F.collect_list(F.when(F.col("_taken") > 0, F.struct("slot", "at", F.col("_taken").alias("words"))))
     return by_pass.groupBy(*keys).agg(F.sum("_taken").alias("taken"), F.array_sort(of_pass).alias("passes"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each pass that takes words of a document; where only its first words are taken, its text ends there.
+    """The mix as documents in the order of its slots: a row for each pass that takes half or more of a document's words.
 
-    Passes are few (``most``), so the explode makes at most that many rows of a document.
+    A document comes where its first slot is. Where a source's target ends inside a document, that one is taken whole or
+    not at all, whichever is nearer. Passes are few (``most``), so the explode makes at most that many rows of a document.
     """
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), "size", F.explode("passes").alias("_pass"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc_id"]) & docs["source"].eqNullSafe(taken["_source"]))
-    cut = F.array_join(F.slice(common.words(F.col("text")), F.lit(1), F.col("_pass.words").cast("int")), " ")
-    whole = F.col("_pass.words") >= F.col("size")
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    taken = mix(docs, **options).select("doc_id", "source", "size", F.explode("passes").alias("_pass")).filter(2 * F.col("_pass.words") >= F.col("size"))
+    taken = common.stored(taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_pass.slot", "_pass.at"), "mix-taken")
+    if taken.count() <= MOST_BROADCAST:
+        taken = F.broadcast(taken)
+    own = [f"c{i}" for i in range(len(docs.columns))]  # no name of a document's column can clash
+    rows = docs.toDF(*own)
+    key, source = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "source"))
+    rows = rows.join(taken, key.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")))
+    rows = rows.repartitionByRange("slot", "at").sortWithinPartitions("slot", "at")
+    return rows.select(*(F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True)))

@@ -38,8 +38,8 @@ from .components import components
 from .shingles import mixed, shingle_sets
 
 LIGHT = 1
-#: An instance's signatures are dealt over so many ranges; a document gets at most as many links in each instance.
-SHARDS = 16
+#: Signatures of an instance that a range of hashes holds, about; the least number of ranges.
+RANGE_SIGNATURES, SHARDS = 2_000_000, 16
 #: Cells of a shape, 2 bytes each; documents in a block of a cluster, whose shapes are compared at once.
 CELLS, BLOCK_DOCS = 64, 4096
 #: Elements of sets in a block of a part; a pair of blocks is counted at once.
@@ -187,7 +187,7 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
             fa, fb = _fingerprints(codes, offsets)
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(fa), pa.array(fb), _shapes(codes, offsets)], names=["doc_id", "n", "fa", "fb", "shape"])
 
-    return common.stored(_texts(docs).mapInArrow(run, "doc_id long, n long, fa long, fb long, shape binary"), "sets")
+    return common.stored(common.in_arrow(_texts(docs), run, "doc_id long, n long, fa long, fb long, shape binary"), "sets")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -198,7 +198,19 @@ _SIGNED = "instance long, shard long, sigs array<long>, docs array<long>, others
 _LONGS = pa.list_(pa.int64())
 
 
-def _forwarded(sig: np.ndarray, doc: np.ndarray, instance: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _ranges(classes: DataFrame, percent: int) -> int:
+    """How many ranges of hashes the signatures of the largest instance need."""
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))  # about a band
+    sizes = {r["step"]: (r["docs"], r["n"]) for r in classes.groupBy(step.alias("step")).agg(F.count("*").alias("docs"), F.max("n").alias("n")).collect()}
+    scheme, most = PartEnum(percent), 0
+    for k, (docs, n) in sizes.items():
+        s = scheme.scheme(int(scheme.band(np.array([n]))[0]))
+        both = docs + max(sizes.get(k - 1, (0, 0))[0], sizes.get(k + 1, (0, 0))[0])
+        most = max(most, both * s.n1 * len(list(combinations(range(s.n2), s.n2 - s.k2))))
+    return max(SHARDS, -(-most // RANGE_SIGNATURES))
+
+
+def _forwarded(sig: np.ndarray, doc: np.ndarray, instance: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows of an instance: one document for each signature by shard, and (in shard 0) the links inside the batch, docs to others."""
     columns: list[list] = [[], [], [], [], []]
     order = np.argsort(instance, kind="stable")
@@ -213,7 +225,7 @@ def _forwarded(sig: np.ndarray, doc: np.ndarray, instance: np.ndarray) -> Iterat
             links = forest.edges()
             for column, value in zip(columns, (number, 0, [], links[:, 0], links[:, 1]), strict=True):
                 column.append(value)
-        shard = (heads >> np.uint64(32)) * np.uint64(SHARDS) >> np.uint64(32)
+        shard = (heads >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             for column, value in zip(columns, (number, int(shard[a]), heads[a:b].view(np.int64), leaders[a:b], []), strict=True):
@@ -222,7 +234,7 @@ def _forwarded(sig: np.ndarray, doc: np.ndarray, instance: np.ndarray) -> Iterat
     yield pa.RecordBatch.from_arrays(arrays, names=["instance", "shard", "sigs", "docs", "others"])
 
 
-def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def candidate_links(docs: DataFrame, words: int, percent: int, ranges: int = SHARDS) -> DataFrame:
     """(instance, u, v): links that connect all documents of an instance that share a signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +253,10 @@ def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
             held.append((sig, number[keep][owner], instance))
             n_held += len(sig)
             if n_held > HELD:
-                yield from _forwarded(*map(np.concatenate, zip(*held, strict=True)))
+                yield from _forwarded(*map(np.concatenate, zip(*held, strict=True)), ranges)
                 held, n_held = [], 0
         if n_held:
-            yield from _forwarded(*map(np.concatenate, zip(*held, strict=True)))
+            yield from _forwarded(*map(np.concatenate, zip(*held, strict=True)), ranges)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.runs(batches, "instance"):
@@ -261,8 +273,8 @@ def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 number = np.full(len(links), rows.column("instance")[0].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["instance", "u", "v"])
 
-    rows = _texts(docs).mapInArrow(sign, _SIGNED).repartition("instance", "shard").sortWithinPartitions("instance", "shard")
-    return common.stored(rows.mapInArrow(meet, "instance long, u long, v long"), "candidates")
+    rows = common.in_arrow(_texts(docs), sign, _SIGNED).repartition("instance", "shard").sortWithinPartitions("instance", "shard")
+    return common.stored(common.in_arrow(rows, meet, "instance long, u long, v long"), "candidates")
 
 
 def _links_of(ids: np.ndarray, codes: np.ndarray, offsets: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
@@ -301,7 +313,9 @@ def _grouped(links: DataFrame, members: DataFrame) -> DataFrame:
     node = lambda c: F.xxhash64(F.col(c), "cluster")
     found = components(links.select(node("u").alias("u"), node("v").alias("v")))
     rows = members.withColumn("node", node("doc_id")).join(found, "node").drop("node", "cluster").withColumnRenamed("component", "cluster")
-    several = rows.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).filter("docs > 1")
+    several = common.stored(rows.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).filter("docs > 1"), "cluster-sizes")
+    if several.count() <= MOST_BROADCAST:
+        several = F.broadcast(several)  # else a hot cluster's rows would meet in one task
     return common.stored(rows.join(several, "cluster"), "clusters")
 
 
@@ -347,7 +361,8 @@ def clusters(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(links), cluster[0])), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["cluster", "u", "v"])
 
     dealt = _in_pairs_of_blocks(members, F.col("docs") / BLOCK_DOCS).select("_key", "cluster", "doc_id", "n", "side", "shape")
-    links = dealt.repartition("_key").sortWithinPartitions("_key").mapInArrow(compare, "cluster long, u long, v long")
+    links = dealt.repartition("_key").sortWithinPartitions("_key")
+    links = common.in_arrow(links, compare, "cluster long, u long, v long")
     return _grouped(common.stored(links, "like"), members.drop("shape", "docs", "elements"))
 
 
@@ -367,7 +382,7 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int, *,
                 yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(at, len(ids)), lists], names=["doc_id", "places", "codes"])
                 at += len(ids)
 
-    made = texts.select("doc_id", "text", "places").mapInArrow(sets, "doc_id long, places array<struct<cluster:bigint,elements:bigint>>, codes array<bigint>")
+    made = common.in_arrow(texts.select("doc_id", "text", "places"), sets, "doc_id long, places array<struct<cluster:bigint,elements:bigint>>, codes array<bigint>")
     made = made.select("doc_id", "codes", F.explode("places").alias("_p")).select("doc_id", "codes", "_p.*")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +401,7 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int, *,
         yield table(forest.edges())
 
     dealt = _in_pairs_of_blocks(made, F.col("elements") / BLOCK_ELEMENTS).select("_key", "doc_id", "side", "codes")
-    return dealt.repartition("_key").sortWithinPartitions("_key").mapInArrow(count, "u long, v long")
+    return common.in_arrow(dealt.repartition("_key").sortWithinPartitions("_key"), count, "u long, v long")
 
 
 def _sets_and_clusters(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -394,8 +409,7 @@ def _sets_and_clusters(docs: DataFrame, words: int, percent: int) -> tuple[DataF
     sets = set_table(docs, words)
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = common.stored(known.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("class_id"), F.first("shape").alias("shape")), "classes")
-    candidates = candidate_links(docs, words, percent)
-    common.tidy(docs.sparkSession)
+    candidates = candidate_links(docs, words, percent, _ranges(classes, percent))
     return sets, known, classes, clusters(candidates, classes, percent)
 
 

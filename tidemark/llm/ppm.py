@@ -10,8 +10,7 @@ log10 P of each (context, symbol), and the log10 weight of leaving each context.
 Pretrained: workers count the longest grams of all texts (those of held-out texts with 0), counts are added up by shuffle,
 and joins level by level give the cost of each gram from that of the gram without its first symbol. No gram is left out:
 costs of the most frequent (at most TOP_GRAMS) are broadcast, those of others are joined, which changes no score. Adaptive
-(``Trie``): each text by what came before in it. Only a caller that gives ``most_nodes`` gets a smaller model, in which the
-rarest long grams are shortened. ``Tables`` and ``Scorer`` are the same model in one worker's memory, a yardstick as ``Trie`` is.
+(``Trie``): each text by what came before in it.
 
 The base score takes words with one end a text: sum of log10((c + 0.5) / (N + 0.5 (V + 1))). Counts of the most
 frequent words (at most TOP_WORDS) are broadcast, those of others are joined. Words are counted by 64-bit hashes.
@@ -48,8 +47,6 @@ HELD = 800_000
 PIECE = 500_000
 #: Bytes of text in hand at once; a symbol takes some 100 bytes while it is scored.
 COUNTED_BYTES, SCORED_BYTES = 1_000_000, PIECE
-#: Cells of a dense child table (4 bytes each); larger ones are hashed.
-DENSE_CELLS = 8_000_000
 
 _LOWER = np.arange(256, dtype=np.int16)
 _LOWER[65:91] += 32
@@ -59,7 +56,7 @@ _LOWER[65:91] += 32
 
 
 class Trie:
-    """The plain form: counts by context, learnt symbol by symbol. Used for adaptive scores and as a yardstick."""
+    """The plain form: counts by context, learnt symbol by symbol, for adaptive scores."""
 
     def __init__(self, order: int = ORDER):
         self.order = order
@@ -169,168 +166,13 @@ def corpus_counts(rows: DataFrame, order: int) -> DataFrame:
         for c in counts:
             yield c.handed_on()
 
-    rows = rows.select("held_out", "text").mapInArrow(run, "kind int, key long, n long")
+    rows = common.in_arrow(rows.select("held_out", "text"), run, "kind int, key long, n long")
     return common.stored(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 # -- the pretrained trie --------------------------------------------------------------------------------------------
 
 
-class Tables:
-    """The trie by gram length m: sorted keys, log10 P of the last symbol after the others, log10 weight of leaving the gram as a context.
-
-    Gram i of a length has id i + 1; what the two tables say of id 0, which stands for what the trie doesn't have, is 0.
-    """
-
-    def __init__(self, order: int, keys: np.ndarray, sums: np.ndarray):
-        self.order = order
-        self.keys: list[np.ndarray] = [np.zeros(1, np.int64)]
-        counts: list[np.ndarray] = [np.zeros(1)]
-        for m in range(1, order + 2):
-            last = keys & ((1 << (_BITS * m)) - 1)
-            whole = (last >> (_BITS * (m - 1))) > 0  # a gram shorter than m ends nothing of length m
-            k, place = np.unique(last[whole], return_inverse=True)
-            self.keys.append(k)
-            counts.append(2 * np.bincount(place, weights=sums[whole], minlength=len(k)) - 1)
-        self.log10: list[np.ndarray] = [np.zeros(1)]
-        self.leave: list[np.ndarray] = []
-        total, distinct = [], []
-        for m in range(order + 1):  # what follows each context of m symbols
-            parent = np.searchsorted(self.keys[m], self.keys[m + 1] >> _BITS) if m else np.zeros(len(self.keys[1]), np.int64)
-            n = np.bincount(parent, weights=counts[m + 1], minlength=len(self.keys[m]))
-            d = np.bincount(parent, minlength=len(self.keys[m])).astype(float)
-            d[d >= SYMBOLS] = 0
-            total.append(n)
-            distinct.append(d)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.log10.append(np.log10(counts[m + 1] / (n + d)[parent]))
-                escape = np.where(n > 0, np.log10(d / (n + d)), 0.0)
-                if m == 0:
-                    self.leave.append(np.where(n > 0, escape - np.log10(SYMBOLS - d), -np.log10(SYMBOLS)))
-                else:
-                    suffix = self._suffix(m)
-                    same = np.searchsorted(self.keys[m], self.keys[m + 1] & ((1 << (_BITS * m)) - 1)) if m else parent
-                    gone = np.bincount(parent, weights=counts[m][same], minlength=len(self.keys[m]))
-                    before = total[m - 1][suffix] + distinct[m - 1][suffix]
-                    self.leave.append(np.where(n > 0, escape + np.log10(before / (before - gone)), 0.0))
-
-        self.log10 = [np.concatenate([[0.0], x]) for x in self.log10]
-        self.leave = [np.concatenate([[0.0], x]) for x in self.leave]
-
-    def _suffix(self, m: int) -> np.ndarray:
-        """Places of the grams of m symbols without their first one, among those of m - 1."""
-        return np.searchsorted(self.keys[m - 1], self.keys[m] & ((1 << (_BITS * (m - 1))) - 1)) if m > 1 else np.zeros(len(self.keys[1]), np.int64)
-
-
-class Slots:
-    """An open-addressing hash table from non-negative integers to 1, 2, ... in their order; 0 for what it doesn't have."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        left, step = np.arange(len(keys)), 0
-        while len(left):
-            at = self._slot(keys[left], step)
-            free = np.flatnonzero(self.keys[at] < 0)
-            _, first = np.unique(at[free], return_index=True)
-            taken = free[first]
-            self.keys[at[taken]], self.values[at[taken]] = keys[left[taken]], left[taken] + 1
-            left, step = np.delete(left, taken), step + 1
-
-    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
-        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (((x >> np.uint64(64 - self.bits)).astype(np.int64)) + step) & ((1 << self.bits) - 1)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slot(keys, 0)
-        there = self.keys[at]
-        found = np.where(there == keys, self.values[at], 0)
-        left, step = np.flatnonzero((there != keys) & (there >= 0)), 1
-        while len(left):
-            at = self._slot(keys[left], step)
-            there = self.keys[at]
-            same = there == keys[left]
-            found[left[same]] = self.values[at[same]]
-            left, step = left[~same & (there >= 0)], step + 1
-        return found
-
-
-class Scorer:
-    """Scores many texts at once: ids of the grams that end at each symbol by child tables, then the tables' sums."""
-
-    def __init__(self, tables: Tables):
-        self.t = tables
-        present = tables.keys[1] - 1
-        self.code = np.zeros(SYMBOLS, np.int64)  # 0: never seen
-        self.code[present] = np.arange(1, len(present) + 1)
-        self.width = len(present) + 1
-        self.child: list = [None, None]
-        for m in range(2, tables.order + 2):
-            parent = np.searchsorted(tables.keys[m - 1], tables.keys[m] >> _BITS) + 1
-            cell = parent * self.width + self.code[(tables.keys[m] & 511) - 1]
-            cells = (len(tables.keys[m - 1]) + 1) * self.width
-            if cells > DENSE_CELLS:
-                self.child.append(Slots(cell))
-            else:
-                self.child.append(np.zeros(cells, np.int32))
-                self.child[m][cell] = np.arange(1, len(cell) + 1)
-        self.log10, self.leave = tables.log10, tables.leave
-
-    def _extend(self, m: int, before: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Ids of the grams of m symbols, given those of the m - 1 symbols before."""
-        cell = before * self.width + code
-        table = self.child[m]
-        return table.find(cell) if isinstance(table, Slots) else table[cell]
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 P of each text and its end."""
-        data, ends = symbols(texts)
-        if not len(self.t.keys[1]):
-            return np.diff(np.concatenate([[-1], ends])) * self.t.leave[0][1]
-        total = np.zeros(len(texts))
-        for a in range(0, len(data), PIECE):
-            b, overlap = min(a + PIECE, len(data)), min(a, self.t.order)
-            costs = self._costs(data[a - overlap : b], _places(ends, a - overlap, b) == 0)[overlap:]
-            total += np.bincount(np.searchsorted(ends, np.arange(a, b)), weights=costs, minlength=len(texts))
-        return total
-
-    def _costs(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P of each symbol; ``first`` marks where a text begins, before which nothing is a context."""
-        code = self.code[data]
-        ids, before = [None, code.astype(np.int32)], [None]
-        for m in range(1, self.t.order + 2):
-            if m > 1:
-                ids.append(self._extend(m, before[m - 1], code))
-            if m <= self.t.order:
-                context = np.concatenate([[0], ids[m][:-1]]).astype(np.int32)
-                context[first] = 0
-                before.append(context)
-        cost = self.log10[self.t.order + 1][ids[self.t.order + 1]]
-        open_ = np.flatnonzero(ids[self.t.order + 1] == 0)
-        for m in range(self.t.order, 0, -1):
-            here = ids[m][open_]
-            cost[open_] += self.leave[m][before[m][open_]] + self.log10[m][here]
-            open_ = open_[here == 0]
-        cost[open_] += self.leave[0][1]
-        return cost
-
-
-def shortened(grams: DataFrame, order: int, most_nodes: int) -> DataFrame:
-    """(key, n) of longest grams for a trie of at most about ``most_nodes`` grams of full length.
-
-    Where there are more, the least frequent lose their first symbol, again and again until they fit or are short; their
-    counts stay with their suffixes.
-    """
-    rows = grams.filter(F.col("n") > 0)
-    for m in range(order, 1, -1):
-        if rows.count() <= most_nodes:
-            break
-        _, frequent = _frequent(rows, most_nodes // 2, 4)
-        shorter = F.when(frequent, F.col("key")).otherwise(F.col("key").bitwiseAND(F.lit((1 << (_BITS * m)) - 1)))
-        rows = common.stored(rows.groupBy(shorter.alias("key")).agg(F.sum("n").alias("n")), "lm-grams")
-    return rows
-
-
 def costs(grams: DataFrame, order: int) -> DataFrame:
     """(key, n, cost) for (key, n) of longest grams: log10 P of each one's last symbol after the others.
 
@@ -416,8 +258,8 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int | None = None, top_grams: int = TOP_GRAMS, top_words: int = TOP_WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of each row; ``most_nodes`` asks for a smaller model."""
+def score(docs: DataFrame, *, order: int = ORDER, top_grams: int = TOP_GRAMS, top_words: int = TOP_WORDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of each row."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     counts = corpus_counts(rows, order)
@@ -429,9 +271,6 @@ def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int | None = None,
     whole = n_tokens + 0.5 * (n_distinct + 1)
     top = words.filter(frequent).orderBy("word").toArrow()
     all_grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
-    if most_nodes is not None:
-        model = shortened(all_grams, order, most_nodes).union(all_grams.select("key", F.lit(0).cast("long")))
-        all_grams = common.stored(model.groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
     gram_costs = costs(all_grams, order)
     _, often = _frequent(gram_costs, top_grams, 4)
     top_costs = gram_costs.filter(often).select("key", "cost").toArrow()
@@ -464,7 +303,7 @@ def score(docs: DataFrame, *, order: int = ORDER, most_nodes: int | None = None,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, top_known long, top_base double, top_score double, rest array<long>, grams array<long>, n_bytes long"
-    scored = common.stored(rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    scored = common.stored(common.in_arrow(rows, run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
     others = scored.select("_row", F.explode("rest").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
     others = others.join(words.filter(~frequent), "word", "left")
     n = F.coalesce("n", F.lit(0))
@@ -493,4 +332,4 @@ def score_adaptively(docs: DataFrame, order: int = ORDER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array([Trie(order).score(x, adaptive=True) for x in texts], pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return common.in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")

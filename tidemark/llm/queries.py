@@ -106,14 +106,15 @@ ORACLE_SQL = {
                AND 100 * n_dup_lines <= 50 * n_lines AS kept
         FROM b""",
     "op6_line_dedup": rf"""
-        WITH l AS (SELECT doc_id, i, lines[i] AS line, lower_key FROM
-                   (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+        WITH l AS (SELECT row, doc_id, i, lines[i] AS line, lower_key FROM
+                   (SELECT row, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                    FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
                    LATERAL (SELECT translate(trim(lines[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key)),
-        f AS (SELECT lower_key FROM l WHERE lower_key <> '' GROUP BY lower_key HAVING count(DISTINCT doc_id) >= 10),
+        f AS (SELECT lower_key FROM l WHERE lower_key <> '' GROUP BY lower_key HAVING count(DISTINCT row) >= 10),
         m AS (SELECT l.*, f.lower_key IS NOT NULL AS gone FROM l LEFT JOIN f USING (lower_key))
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-        FROM m GROUP BY doc_id""",
+        FROM m GROUP BY row, doc_id""",
     "op8_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
