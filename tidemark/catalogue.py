@@ -6,7 +6,11 @@ for writes over writes and for several series at one time.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .operators import catalog, expiration
 from .plans import Aggregate, Query, SeriesBinding, parse_query_string, plan
-from .sources.store import Store
+from .sources.store import CHUNKS, Store
 
 DAY, HOUR = 86_400_000, 3_600_000
 #: 2024-01-05 and 2024-01-15, 00:00 UTC.
@@ -144,10 +148,10 @@ _INT = {
     "min": "min(v)", "max": "max(v)", "avg": "CAST((2 * sum(v) + count(v)) // (2 * count(v)) AS BIGINT)",
     "sum": "CAST(sum(v) AS BIGINT)", "count": "count(v)", "last": "arg_max(v, (ms, k))", "none": "CAST(sum(v) AS BIGINT)",
 }
-_BOOL = {"min": "bool_and(v)", "max": "bool_or(v)", "avg": "avg(CAST(v AS INT)) > 0.5", "sum": "CAST(sum(CAST(v AS INT)) AS BIGINT)", "count": "count(v)", "last": "arg_max(v, (ms, k))"}
+_BOOL = {"none": "CAST(sum(CAST(v AS INT)) AS BIGINT)", "min": "bool_and(v)", "max": "bool_or(v)", "avg": "avg(CAST(v AS INT)) > 0.5", "sum": "CAST(sum(CAST(v AS INT)) AS BIGINT)", "count": "count(v)", "last": "arg_max(v, (ms, k))"}
 _STRING = {
     "count": "count(v)", "last": "arg_max(v, (ms, k))", "min": "CAST(NULL AS DOUBLE)", "max": "CAST(NULL AS DOUBLE)",
-    "avg": "CAST(0 AS DOUBLE)", "sum": "CAST(0 AS DOUBLE)",
+    "avg": "CAST(0 AS DOUBLE)", "sum": "CAST(0 AS DOUBLE)", "none": "CAST(0 AS DOUBLE)",
 }
 
 
@@ -224,7 +228,7 @@ _add("timestamp_range", lambda s, d: catalog.timestamp_range(lineitem(s, d)), f"
 
 
 def expire_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly records of orders by priority: which go to free 5 % of what all take."""
+    """Monthly records of orders by priority: which of the oldest go to free 10,000 bytes."""
     rows = table(spark, sf_dir, "orders").withColumn("record_id", F.concat_ws(":", F.date_format("o_orderdate", "yyyy-MM"), "o_orderpriority"))
     records = rows.groupBy("record_id").agg(F.min(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("start_ms"), F.count("*").alias("points"))
     records = records.withColumn("bytes", expiration.record_bytes("points"))
@@ -246,11 +250,23 @@ _add(
 
 
 def _fresh(spark: SparkSession) -> Store:
-    """An empty store in the folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    import uuid
+    """An empty store in the folder that all executors share; where Spark runs in one process and none is set, in a temporary one.
+
+    It is deleted when the application's Python ends.
+    """
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    store = Store(spark, f"{shared}/tidemark-store-{uuid.uuid4().hex}", auto_compact=False)
+    atexit.register(_drop, store)
+    return store
+
 
-    return Store(spark, f"{shared}/tidemark-store-{uuid.uuid4().hex}", auto_compact=False)
+def _drop(store: Store) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        store.files.delete("")
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> Store:
@@ -330,3 +346,79 @@ _add(
         kept AS (SELECT DISTINCT f.series, f.ms FROM f LEFT JOIN (SELECT * FROM c, t WHERE before < target) AS x ON f.series = x.series AND f.event_id % 2 + 1 = x.batch WHERE x.series IS NULL)
         SELECT min(ms) AS min_ms, max(ms) AS max_ms, count(*) AS points FROM kept""",
 )
+
+
+def _in_five(spark: SparkSession, sf_dir: str, *, auto_compact: bool = False) -> Store:
+    """The events in five writes, by event_id modulo 5."""
+    store = _fresh(spark)
+    store.auto_compact = auto_compact
+    rows = table(spark, sf_dir, "events").select("ts", "event_type", "event_id", "value")
+    for n in range(5):
+        store.insert("events", rows.filter(F.col("event_id") % 5 == n), ts_col="ts", tag_cols=("event_type",), fields=("value",), seq_col="event_id")
+    return store
+
+
+def level_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points after a compaction of level 0 and a further write."""
+    store = _in_five(spark, sf_dir)
+    store.compact()
+    rows = table(spark, sf_dir, "events").filter("event_id % 5 = 0").withColumn("value", F.col("value") + 1)
+    store.insert("events", rows, ts_col="ts", tag_cols=("event_type",), fields=("value",), seq_col="event_id")
+    return store.query(Query("events"))
+
+
+def auto_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each level holds once the fourth of five writes has set off a compaction."""
+    return _in_five(spark, sf_dir, auto_compact=True).usage_by_level()
+
+
+def type_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of another type is not written to series that have it; its siblings are."""
+    store = _fresh(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
+    tags = {"ts_col": "ts", "tag_cols": ("o_orderstatus",), "seq_col": "o_orderkey"}
+    store.insert("orders", rows, fields=("price",), **tags)
+    store.insert("orders", rows.withColumn("price", F.col("price").cast("bigint")).withColumn("number", F.col("o_orderkey")), fields=("price", "number"), **tags)
+    return _rounded(store.query(Query("orders", rollup_interval=30 * DAY, method=Aggregate.SUM)), "price")
+
+
+def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _filled(spark, sf_dir)
+    store.clear_all()
+    rows = table(spark, sf_dir, "events").filter("event_type = 'view'")
+    store.insert("views", rows, ts_col="ts", tag_cols=("event_type",), fields=("value",), seq_col="event_id")
+    return store.measurements()
+
+
+def chunk_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a write in small chunks makes more files than one in large chunks, of the same points."""
+    found = []
+    for size in (1, 500):
+        store = _fresh(spark)
+        store.set_chunk_size(size)
+        store.set_chunk_size(0)  # ignored
+        store.insert("lines", table(spark, sf_dir, "lineitem").selectExpr("l_shipdate AS ts", "l_quantity", "l_orderkey AS seq"), ts_col="ts", fields=("l_quantity",), seq_col="seq")
+        batch = store.manifest.batches[0]
+        found.append((size, batch.rows, batch.files >= batch.rows / (size * CHUNKS)))
+    return spark.createDataFrame(found, "chunk_size int, points bigint, enough_files boolean")
+
+
+_add("compact_levels", level_compact, f"SELECT ms AS ts_ms, arg_max(v, ({_key.format('value')}, n, event_id)) AS value FROM (SELECT {EVENT_MS} AS ms, event_type, event_id, event_id % 5 AS n, value AS v FROM events UNION ALL SELECT {EVENT_MS}, event_type, event_id, 5, value + 1 FROM events WHERE event_id % 5 = 0) GROUP BY ms")
+_add(
+    "auto_compact",
+    auto_compact,
+    f"""WITH e AS (SELECT {EVENT_MS} AS ms, event_type, event_id % 5 AS n FROM events),
+        m AS (SELECT count(*) AS points FROM (SELECT DISTINCT event_type, ms FROM e WHERE n < 4))
+        SELECT 0 AS level, CAST(1 AS BIGINT) AS batches, count(*) AS points FROM e WHERE n = 4 UNION ALL SELECT 1, 1, points FROM m""",
+)
+_ORDER_KEY = "md5('orders:o_orderstatus:' || o_orderstatus || ':{}')"
+_add(
+    "type_clash",
+    type_clash,
+    f"""WITH o AS (SELECT epoch_us(o_orderdate) // 1000 AS ms, o_orderstatus AS s, arg_max(o_totalprice, o_orderkey) AS price, arg_max(o_orderkey, o_orderkey) AS number FROM orders GROUP BY ALL),
+        a AS (SELECT min(ms) AS a FROM o)
+        SELECT a + ((ms - a) // {30 * DAY}) * {30 * DAY} AS ts_ms, round(sum(price), 9) AS price, CAST(sum(number) AS BIGINT) AS number FROM o, a GROUP BY 1""",
+)
+_add("clear_all", cleared, "SELECT 'views' AS measurement")
+_add("chunk_size", chunk_size, "SELECT n AS chunk_size, count(l_quantity) AS points, true AS enough_files FROM lineitem, (VALUES (1), (500)) AS t(n) GROUP BY n")
+_add("usage_by_level", lambda s, d: _filled(s, d).usage_by_level(), "SELECT 0 AS level, CAST(2 AS BIGINT) AS batches, 2 * count(*) AS points FROM events")

@@ -23,15 +23,17 @@ class Engine:
         self._pool: ThreadPoolExecutor | None = None
 
     def init(self) -> bool:
-        """Open; opening again changes nothing."""
-        self._pool = self._pool or ThreadPoolExecutor(1, thread_name_prefix="compaction")
+        """Open; opening again changes nothing. From now on inserts that fill a level start its compaction in the background."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(1, thread_name_prefix="compaction")
+            self.store.on_full = self.compact
         return True
 
     def deinit(self) -> None:
         """Wait for a running compaction and close."""
         if self._pool:
             self._pool.shutdown(wait=True)
-        self._pool = None
+        self._pool = self.store.on_full = None
 
     # writing
     def insert(self, measurement: str, points: DataFrame | Sequence[Mapping], *, schema: str | None = None, ts_col: str = "ts_ms", tags: Mapping[str, str] | None = None, tag_cols: Sequence[str] = (), fields: Sequence[str] | None = None) -> bool:

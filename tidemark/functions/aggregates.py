@@ -44,6 +44,7 @@ def aggregate(method: Aggregate, kind: str, value: Column, order: Column) -> Col
         }[method]
     if kind == "bigint":
         n = F.count(value)
-        rounded = F.when(n > 0, F.call_function("div", 2 * F.sum(value) + n, 2 * F.greatest(n, F.lit(1))))
+        total = F.sum(value.cast("decimal(19,0)"))  # sums of longs may be beyond longs, averages never are
+        rounded = F.when(n > 0, F.call_function("div", 2 * total + n, (2 * F.greatest(n, F.lit(1))).cast("decimal(20,0)")))
         return {Aggregate.MIN: F.min(value), Aggregate.MAX: F.max(value), Aggregate.AVG: rounded, Aggregate.SUM: F.sum(value)}[method]
     return {Aggregate.MIN: F.min(_number(value)), Aggregate.MAX: F.max(_number(value)), Aggregate.AVG: F.avg(value), Aggregate.SUM: F.sum(value)}[method]

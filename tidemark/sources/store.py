@@ -1,20 +1,23 @@
 """A mutable time-series store on Parquet: ingest, query, delete, expire, compact.
 
 Layout under the root: ``points/<batch>/measurement=.../field=.../*.parquet`` (long rows, sorted by series and time),
-``catalog/<batch>`` (one row for each series that a batch brought) and ``_manifest``. Every change writes new files and
-then a new manifest version; readers see one version. The last write of a series at one time counts, whatever the
-level its batch is on.
+``catalog/<batch>`` (one row for each series that a batch brought), ``records/<batch>`` (one row for each record, see
+``records``) and ``_manifest``. Every change writes new files and then a new manifest version, made of the newest one, so
+that writers beside each other lose nothing; readers see one version. Writes are numbered in the order of their commits,
+and the last write of a series at one time counts, whatever the level its batch is on. A deletion holds for all writes
+committed before it.
 """
 
 from __future__ import annotations
 
 import logging
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import expiration
@@ -22,7 +25,7 @@ from ..operators.dedup import newest
 from ..plans.binding import FIELD_TYPES, SeriesBinding
 from ..plans.planner import plan
 from ..plans.query import Query, parse_query_string
-from .manifest import Batch, Files, Manifest, Tombstone
+from .manifest import Batch, Files, Listed, Manifest, Tombstone
 
 log = logging.getLogger(__name__)
 
@@ -38,7 +41,10 @@ TYPES = ("double", "bigint", "boolean", "string")
 #: Batches on a level from which compaction merges it; the last level.
 MERGE_AT, LAST_LEVEL = 4, 4
 MAX_CHUNK, DEFAULT_CHUNK = 65_535, 500
+#: Chunks to a file of a write; points to a file of a merged batch, about.
+CHUNKS, FILE_POINTS = 2000, 4_000_000
 
+RECORDS = "measurement string, field string, series_id string, seq bigint, start_ms bigint, points bigint"
 
 
 class Store:
@@ -48,6 +54,8 @@ class Store:
         self.spark, self.root, self.capacity, self.auto_compact = spark, root.rstrip("/"), capacity_bytes, auto_compact
         self.files = Files(spark, self.root)
         self.chunk_size = DEFAULT_CHUNK
+        #: What an insert calls when a level is full, instead of compacting itself.
+        self.on_full: Callable[[], object] | None = None
 
     # -- reading ------------------------------------------------------------------------------------------------
 
@@ -68,12 +76,19 @@ class Store:
                 tests.append(test)
         return df.filter(~reduce(or_, tests)) if tests else df
 
+    def _numbered(self, schema: str, parts: Sequence[tuple[str, int | None]]) -> DataFrame:
+        """The rows of some folders; those of one write get its number."""
+        merged, made = [f"{self.root}/{p}" for p, seq in parts if seq is None], []
+        if merged:
+            made += [self.spark.read.schema(schema).parquet(p) for p in merged]
+        made += [self.spark.read.schema(schema).parquet(f"{self.root}/{p}").withColumn("seq", F.lit(seq).cast("bigint")) for p, seq in parts if seq is not None]
+        return reduce(DataFrame.unionByName, made) if made else self.spark.createDataFrame([], schema)
+
     def points(self, manifest: Manifest | None = None, measurement: str | None = None, batches: Sequence[Batch] | None = None) -> DataFrame:
         """The live points as long rows."""
         manifest = manifest or self.manifest
         batches = manifest.batches if batches is None else batches
-        parts = [self.spark.read.schema(POINTS).parquet(f"{self.root}/{b.path}") for b in batches]
-        df = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], POINTS)
+        df = self._numbered(POINTS, [(b.path, b.seq) for b in batches])
         if measurement is not None:
             df = df.filter(F.col("measurement") == measurement)
         return self._live(df, manifest, measurement)
@@ -81,9 +96,7 @@ class Store:
     def catalog(self, manifest: Manifest | None = None) -> DataFrame:
         """The live series: (measurement, field, series_id, tags, ftype, place), each once, as first seen."""
         manifest = manifest or self.manifest
-        if not manifest.catalog:
-            return self.spark.createDataFrame([], CATALOG)
-        df = self.spark.read.schema(CATALOG).parquet(*(f"{self.root}/{p}" for p in manifest.catalog))
+        df = self._numbered(CATALOG, [(c.path, c.seq) for c in manifest.catalog])
         first = self._live(df, manifest).withColumn("_at", F.struct("seq", "place"))
         rest = F.struct("tags", "ftype", "seq", "place")
         return first.groupBy("measurement", "field", "series_id").agg(F.min_by(rest, "_at").alias("_row")).select("measurement", "field", "series_id", "_row.*")
@@ -127,12 +140,13 @@ class Store:
 
     # -- writing ------------------------------------------------------------------------------------------------
 
-    def insert(self, measurement: str, points: DataFrame, *, ts_col: str = "ts_ms", tags: Mapping[str, str] | None = None, tag_cols: Sequence[str] = (), fields: Iterable[str] | None = None, seq_col: str | None = None) -> bool:
+    def insert(self, measurement: str, points: DataFrame, *, ts_col: str = "ts_ms", tags: Mapping[str, str] | None = None, tag_cols: Sequence[str] = (), fields: Iterable[str] | None = None, seq_col: str | None = None, stream: tuple[str, int] | None = None) -> bool:
         """Append points: a row for each time, a column for each field; null cells are no points.
 
         ``tags`` hold for all rows, ``tag_cols`` name columns with more. ``seq_col`` orders the rows; else their order
         in the DataFrame does. A field whose type differs from what a series of it has is not written. True where all
-        fields were written; no rows is success.
+        fields were written; no rows is success. ``stream`` names a stream and its micro-batch: one that was written
+        already, or an earlier one, is left out.
         """
         if not measurement:
             raise ValueError("a measurement needs a name")
@@ -145,21 +159,30 @@ class Store:
                 raise ValueError(f"field {f} has an unsupported type")
             kinds[f] = kind
         manifest = self.manifest
-        seq = manifest.seq + 1
-        long = self._long(measurement, points, ts_col, tags or {}, list(tag_cols), kinds, seq_col, seq)
+        if stream and manifest.streams.get(stream[0], -1) >= stream[1]:
+            return True
+        long = self._long(measurement, points, ts_col, tags or {}, list(tag_cols), kinds, seq_col)
         long, clashes = self._without_clashes(long, manifest)
-        name = f"{seq:012d}-{uuid.uuid4().hex[:8]}"
-        batch = self._write(long, f"points/{name}", 0)
-        if not batch.rows:
-            return not clashes
-        self._add_catalog(manifest, name, batch, fields)
-        parts = dict(seq=seq, batches=(*manifest.batches, batch), catalog=(*manifest.catalog, f"catalog/{name}"))
-        self.files.commit(manifest.next(**parts))
-        if self.auto_compact and not clashes and sum(b.level == 0 for b in parts["batches"]) >= MERGE_AT:
-            self.compact()
+        name = uuid.uuid4().hex
+        batch = self._write(long, name, 0)
+        if batch.rows:
+            self._add_catalog(manifest, name, batch, fields)
+
+        def with_batch(now: Manifest) -> Manifest | None:
+            if stream and now.streams.get(stream[0], -1) >= stream[1]:
+                return None
+            done = {"streams": now.streams | dict([stream])} if stream else {}
+            if not batch.rows:
+                return now.next(**done) if stream else None
+            seq = now.seq + 1
+            return now.next(seq=seq, batches=(*now.batches, replace(batch, seq=seq)), catalog=(*now.catalog, Listed(f"catalog/{name}", seq)), **done)
+
+        committed = self.files.change(with_batch)
+        if committed and self.auto_compact and not clashes and sum(b.level == 0 for b in committed.batches) >= MERGE_AT:
+            (self.on_full or self.compact)()
         return not clashes
 
-    def _long(self, measurement: str, points: DataFrame, ts_col: str, tags: Mapping[str, str], tag_cols: list[str], kinds: Mapping[str, str], seq_col: str | None, seq: int) -> DataFrame:
+    def _long(self, measurement: str, points: DataFrame, ts_col: str, tags: Mapping[str, str], tag_cols: list[str], kinds: Mapping[str, str], seq_col: str | None) -> DataFrame:
         binding = SeriesBinding(points, measurement, ts_col, tag_cols, tuple(kinds))
         pairs = [x for k, v in tags.items() for x in (F.lit(k), F.lit(str(v)))] + [x for k in tag_cols for x in (F.lit(k), F.col(f"`{k}`").cast("string"))]
         tag_map = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
@@ -172,11 +195,20 @@ class Store:
         rows = points.select(binding.ts_ms().alias("ts_ms"), tag_map.alias("tags"), order.alias("ord"), F.array(*cells).alias("_cells"))
         rows = rows.filter("ts_ms IS NOT NULL").select("ts_ms", "tags", "ord", F.explode("_cells").alias("_c")).select("ts_ms", "tags", "ord", "_c.*")
         rows = rows.filter(reduce(or_, (F.col(f"v_{k}").isNotNull() for k in TYPES)))
-        named = F.transform(F.map_entries("tags"), lambda e: F.concat_ws(":", e["key"], e["value"]))
-        series = F.md5(F.concat_ws(":", F.lit(measurement), F.array_join(named, ":"), F.col("field")).cast("binary"))
-        rows = rows.withColumn("series_id", series).withColumn("seq", F.lit(seq).cast("bigint")).withColumn("measurement", F.lit(measurement))
+        rows = rows.withColumn("series_id", self._series(measurement)).withColumn("seq", F.lit(None).cast("bigint")).withColumn("measurement", F.lit(measurement))
         return rows.select(*_names(POINTS))
 
+    def _series(self, measurement: str) -> Column:
+        """The key of a row's series: a hash of measurement, tags in the order of their names, and field.
+
+        Names and values that hold a control character or ``:`` are told apart by backslashes, so that no two sets of tags
+        have one key.
+        """
+        plain = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+        tags = F.array_sort(F.map_entries("tags"))
+        named = F.transform(tags, lambda e: F.concat_ws(":", plain(e["key"]), plain(e["value"])))
+        return F.md5(F.concat_ws(":", F.lit(measurement), F.array_join(named, ":"), F.col("field")).cast("binary"))
+
     def _without_clashes(self, long: DataFrame, manifest: Manifest) -> tuple[DataFrame, bool]:
         if not manifest.catalog:
             return long, False
@@ -185,17 +217,30 @@ class Store:
         bad = [r["field"] for r in new.filter("ftype <> _known").select("field").distinct().collect()]
         return (long.filter(~F.col("field").isin(bad)), True) if bad else (long, False)
 
-    def _write(self, long: DataFrame, path: str, level: int) -> Batch:
-        spread = F.pmod(F.xxhash64("series_id"), F.lit(8))
-        dealt = long.repartition("measurement", "field", spread).sortWithinPartitions("measurement", "field", "series_id", "ts_ms")
-        limit = {} if level else {"maxRecordsPerFile": str(self.chunk_size * 2000)}
-        dealt.write.options(**limit).option("compression", "zstd").partitionBy("measurement", "field").parquet(f"{self.root}/{path}")
-        rows = self.spark.read.schema(POINTS).parquet(f"{self.root}/{path}").count()
+    def _write(self, long: DataFrame, name: str, level: int, rows: int | None = None) -> Batch:
+        """Write points as a batch. ``rows``: about how many there are, where that is known.
+
+        A field's points are dealt by series and time over as many tasks as they need, so neither a measurement of one field
+        nor a hot series is written by one task. A write knows nothing of its size and leaves that to Spark's rebalancing.
+        """
+        path, limit = f"points/{name}", self.chunk_size * CHUNKS if level == 0 else FILE_POINTS
+        if rows is None:
+            dealt = long.hint("rebalance", "measurement", "field")
+        else:
+            day = F.expr("ts_ms div 86400000")
+            spread = F.pmod(F.xxhash64("series_id", day), F.lit(max(1, -(-rows // FILE_POINTS))))
+            dealt = long.repartition("measurement", "field", spread)
+        dealt = dealt.sortWithinPartitions("measurement", "field", "series_id", "ts_ms")
+        dealt.write.option("maxRecordsPerFile", str(limit)).option("compression", "zstd").partitionBy("measurement", "field").parquet(f"{self.root}/{path}")
+        written = self.spark.read.schema(POINTS).parquet(f"{self.root}/{path}")
+        runs = written.groupBy("measurement", "field", "series_id", "seq").agg(F.min("ts_ms").alias("start_ms"), F.count("*").alias("points"))
+        runs.select(*_names(RECORDS)).write.parquet(f"{self.root}/records/{name}")
+        n = self.spark.read.schema(RECORDS).parquet(f"{self.root}/records/{name}").agg(F.sum("points")).first()[0] or 0
         files, size = self.files.usage(path, ".parquet")
-        return Batch(path, level, rows, size, files)
+        return Batch(path, level, n, size, files, None, f"records/{name}")
 
     def _add_catalog(self, manifest: Manifest, name: str, batch: Batch, fields: list[str]) -> None:
-        """Series of the batch that the catalogue doesn't have yet."""
+        """Series of the batch that the catalogue doesn't have yet; two writers may both bring one, the first counts."""
         place = F.array_position(F.array(*map(F.lit, fields)), F.col("field")).cast("bigint")
         written = self.spark.read.schema(POINTS).parquet(f"{self.root}/{batch.path}")
         row = F.struct("tags", "ftype", "seq", place.alias("place"))
@@ -206,94 +251,121 @@ class Store:
 
     # -- changing -----------------------------------------------------------------------------------------------
 
+    def _bury(self, *tombstones: Callable[[int], Tombstone]) -> None:
+        self.files.change(lambda now: now.next(tombstones=(*now.tombstones, *(t(now.seq) for t in tombstones))))
+
     def delete_measurement(self, measurement: str) -> bool:
         """Delete all points so far; an unknown measurement is success. What is inserted later is visible."""
-        manifest = self.manifest
-        self.files.commit(manifest.next(tombstones=(*manifest.tombstones, Tombstone(measurement, manifest.seq))))
+        self._bury(lambda seq: Tombstone(measurement, seq))
         return True
 
     def delete_field(self, measurement: str, field: str) -> bool:
         """Delete one field's points so far; its siblings stay, whatever tags they share."""
-        manifest = self.manifest
-        self.files.commit(manifest.next(tombstones=(*manifest.tombstones, Tombstone(measurement, manifest.seq, field))))
+        self._bury(lambda seq: Tombstone(measurement, seq, field))
         return True
 
-    def records(self) -> DataFrame:
-        """The live records: runs of one series within one write (record_id, measurement, field, series_id, seq, start_ms, points, bytes)."""
-        runs = self.points().groupBy("measurement", "field", "series_id", "seq").agg(F.min("ts_ms").alias("start_ms"), F.count("*").alias("points"))
+    def records(self, manifest: Manifest | None = None) -> DataFrame:
+        """The live records: runs of one series within one write (record_id, measurement, field, series_id, seq, start_ms, points, bytes).
+
+        They are read from the tables of records that each write leaves, not from the points.
+        """
+        manifest = manifest or self.manifest
+        runs = self._live(self._numbered(RECORDS, [(b.records, b.seq) for b in manifest.batches]), manifest)
+        runs = runs.groupBy("measurement", "field", "series_id", "seq").agg(F.min("start_ms").alias("start_ms"), F.sum("points").alias("points"))
         return runs.withColumn("record_id", F.concat_ws(":", "seq", "series_id")).withColumn("bytes", expiration.record_bytes("points"))
 
     def expire(self, threshold: float = 0.5, reduction: float = 0.05) -> int:
         """Where usage has reached ``threshold`` of the capacity, delete the oldest records; how many went.
 
-        Usage and sizes are those of records. At most 25 records go in one run.
+        Usage and sizes are those of records. At most 25 records go in one run. They are marked as deleted, and the batches
+        that hold any of them are merged; other batches are not touched.
         """
         if not (0 < threshold < 1 and 0 < reduction < 1):
             raise ValueError("threshold and reduction must be between 0 and 1")
-        records = self.records()
+        manifest = self.manifest
+        records = self.records(manifest)
         used = records.agg(F.sum("bytes")).first()[0] or 0
         if used < threshold * self.capacity:
             return 0
         gone = expiration.expired(records, self.capacity * reduction).select("measurement", "field", "series_id", "seq").collect()
-        manifest = self.manifest
-        more = tuple(Tombstone(r["measurement"], r["seq"], r["field"], r["series_id"], True) for r in gone)
-        self.files.commit(manifest.next(tombstones=(*manifest.tombstones, *more)))
-        self.compact(force=True)
+        self._bury(*(lambda _, r=r: Tombstone(r["measurement"], r["seq"], r["field"], r["series_id"], True) for r in gone))
+        written = {r["seq"] for r in gone}
+        touched = tuple(b for b in manifest.batches if (b.seq in written if b.seq is not None else self._holds(b, written)))
+        self._merge(touched, max((b.level for b in touched), default=0))
         return len(gone)
 
+    def _holds(self, batch: Batch, written: set[int]) -> bool:
+        return bool(self.spark.read.schema(RECORDS).parquet(f"{self.root}/{batch.records}").filter(F.col("seq").isin(*written)).head(1))
+
     def compact(self, *, force: bool = False) -> bool:
         """Merge the batches of each level that has enough of them into one on the next level; all of them with ``force``.
 
-        Points written over are dropped, and deleted ones; a full merge also drops the tombstones it has applied.
+        Points written over are dropped, and deleted ones; a full merge also drops the tombstones it has applied. Inserts,
+        deletions and queries go on beside it; of two compactions of one batch the later gives up.
         """
-        manifest, level = self.manifest, 0
-        if force and (manifest.batches or manifest.tombstones):
-            self._merge(manifest, manifest.batches, LAST_LEVEL)
+        if force:
+            manifest = self.manifest
+            if manifest.batches or manifest.tombstones:
+                self._merge(manifest.batches, LAST_LEVEL, whole=True)
             return True
-        while not force and level < LAST_LEVEL:
-            batches = tuple(b for b in manifest.batches if b.level == level)
+        for level in range(LAST_LEVEL):
+            batches = tuple(b for b in self.manifest.batches if b.level == level)
             if len(batches) >= MERGE_AT:
-                manifest = self._merge(manifest, batches, level + 1)
-            level += 1
+                self._merge(batches, level + 1)
         return True
 
-    def _merge(self, manifest: Manifest, batches: tuple[Batch, ...], level: int) -> Manifest:
+    def _merge(self, batches: tuple[Batch, ...], level: int, *, whole: bool = False) -> None:
+        """Replace ``batches`` by one. ``whole``: they were all there were, so what they and the catalogue no longer hold is forgotten."""
+        manifest, name = self.manifest, uuid.uuid4().hex
         points = newest(self.points(manifest, batches=batches), ["measurement", "field", "series_id", "ts_ms"], ["seq", "ord"])
-        name = f"{manifest.seq:012d}-{uuid.uuid4().hex[:8]}"
-        merged = self._write(points.select(*_names(POINTS)), f"points/{name}", level) if batches else None
-        rest = tuple(b for b in manifest.batches if b not in batches)
-        kept = (*rest, merged) if merged and merged.rows else rest
-        parts = {"batches": kept}
-        if not rest:
-            self.catalog(manifest).write.parquet(f"{self.root}/catalog/{name}")
-            parts |= {"tombstones": (), "catalog": (f"catalog/{name}",)}
-        new = manifest.next(**parts)
-        self.files.commit(new)
-        return new
+        merged = self._write(points.select(*_names(POINTS)), name, level, sum(b.rows for b in batches)) if batches else None
+        kept, applied, listed = (merged,) if merged and merged.rows else (), set(manifest.tombstones), set(manifest.catalog)
+        forget = whole and set(batches) == set(manifest.batches)
+        if forget:
+            self.catalog(manifest).select(*_names(CATALOG)).write.parquet(f"{self.root}/catalog/{name}")
+
+        def with_merged(now: Manifest) -> Manifest | None:
+            if not set(batches) <= set(now.batches):
+                return None  # another merge took them
+            # batches that came meanwhile have later numbers than any tombstone that was applied
+            parts = {"batches": (*(b for b in now.batches if b not in set(batches)), *kept)}
+            if forget:
+                parts |= {"tombstones": tuple(t for t in now.tombstones if t not in applied), "catalog": (Listed(f"catalog/{name}"), *(c for c in now.catalog if c not in listed))}
+            return now.next(**parts)
+
+        if self.files.change(with_merged) is None:
+            for folder in ("points", "records", "catalog"):
+                self.files.delete(f"{folder}/{name}")
 
     def vacuum(self) -> None:
-        """Delete files that the latest version doesn't use. No query on an older one may be running."""
+        """Delete files that the latest version doesn't use. No query on an older one and no writer may be running."""
         manifest = self.manifest
-        for folder, live in (("points", {b.path for b in manifest.batches}), ("catalog", set(manifest.catalog))):
+        live = {"points": {b.path for b in manifest.batches}, "records": {b.records for b in manifest.batches}, "catalog": {c.path for c in manifest.catalog}}
+        for folder, used in live.items():
             for name in self.files.names(folder):
-                if f"{folder}/{name}" not in live:
+                if f"{folder}/{name}" not in used:
                     self.files.delete(f"{folder}/{name}")
         for name in self.files.names("_manifest"):
-            if name != f"v{manifest.version}.json":
+            if not name.startswith(f"v{manifest.version}.json"):
                 self.files.delete(f"_manifest/{name}")
 
     def clear_all(self) -> bool:
         """Delete everything."""
-        manifest = self.manifest
-        self.files.commit(manifest.next(batches=(), catalog=(), tombstones=()))
+        self.files.change(lambda now: now.next(batches=(), catalog=(), tombstones=()))
         self.vacuum()
         return True
 
     def set_chunk_size(self, n: int) -> None:
-        """How many points an L0 file takes, in thousands of chunks; 0 is ignored."""
+        """How many points a chunk takes; a file of an insert takes CHUNKS chunks at most. 0 is ignored, MAX_CHUNK the most."""
         if n > 0:
             self.chunk_size = min(n, MAX_CHUNK)
 
+    def usage_by_level(self) -> DataFrame:
+        """(level, batches, points): what each level that holds any has."""
+        batches = self.manifest.batches
+        rows = [(n, len(some), sum(b.rows for b in some)) for n in range(LAST_LEVEL + 1) if (some := [b for b in batches if b.level == n])]
+        return self.spark.createDataFrame(rows, "level int, batches bigint, points bigint")
+
     def usage_summary(self) -> dict:
         """Files and bytes of each level and of the metadata; used and total bytes."""
         manifest = self.manifest

@@ -11,10 +11,10 @@ from ..sources.store import Store
 
 
 def stream_into(store: Store, measurement: str, stream: DataFrame, checkpoint: str, *, ts_col: str = "ts_ms", tag_cols: Sequence[str] = (), fields: Sequence[str] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Insert each micro-batch of ``stream``. A batch that is run again after a failure writes the same points again, which count once."""
+    """Insert each micro-batch of ``stream`` once: its number is committed with its points, so one that is run again is left out."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.insert(measurement, batch, ts_col=ts_col, tag_cols=tag_cols, fields=fields)
+    def write(batch: DataFrame, number: int) -> None:
+        store.insert(measurement, batch, ts_col=ts_col, tag_cols=tag_cols, fields=fields, stream=(checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
