@@ -1,14 +1,15 @@
 """A training corpus from raw documents, stage by stage: each stage's result is written as Parquet and read by the next.
 
-Defined cases are those of the operators; every stage but the last returns the columns of its input. Documents without
-an id can be linked with no other, and no benchmark item is held against them; rows that repeat an id stay or go together.
+Defined cases are those of the operators; every stage but the last returns the columns of its input. Near duplicates and
+benchmark items are sought row by row, also among rows without an id or with a repeated one: of rows that are equal in id
+and text one stays, others are told apart by their texts. A copy without an id goes rather than one with an id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, mixing, nearjoin, tokens, toxicity
@@ -17,6 +18,10 @@ from tidemark.llm import common, decontaminate, mixing, nearjoin, tokens, toxici
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
+def _named(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fit on the labelled ones among them, doesn't call toxic."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,17 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of similarity connect, the one with the least id."""
-    found = nearjoin.near_components(docs, words=SHINGLE_WORDS, percent=SIMILARITY)
-    return common.without(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    rows, key = common.keyed(docs)
+    found = nearjoin.near_components(rows.select(F.col(key).alias("doc_id"), "text"), words=SHINGLE_WORDS, percent=SIMILARITY)
+    return common.without(rows, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), key).select(*_named(docs))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows, key = common.keyed(docs)
+    found = decontaminate.leaks(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return common.without(rows, found.select("doc_id"), key).select(*_named(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: once, twice or not; where a source's share ends inside one, its first words."""
+    """The documents in the order of the mix's slots, once, twice or not: whole ones, about as many words of a source as its target."""
     return mixing.mixed_rows(docs)
 
 
@@ -58,7 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's result; what a stage has written is deleted once the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = common.scratch_path(spark, name)
+        docs = common.written(stage(spark, docs, sf_dir), path)
+        if before:
+            common.drop_path(spark, before)
+        before = path
+    made = STAGES[-1][1](spark, docs, sf_dir)
+    common.drop_path(spark, before)
+    return made
