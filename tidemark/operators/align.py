@@ -7,13 +7,18 @@ not a join for each field.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.aggregates import typed_zero
 from .filters import Points
 
+#: Limits up to this many rows are found for all fields at once: a task's window keeps no more rows of a field (rank limit).
+HELD_TIMES = 10_000
+
 
 def raw(points: Points, fields: list[str]) -> DataFrame:
     """One row for each time at which a field has a point: (ts_ms, v0.., n0..).
@@ -27,21 +32,25 @@ def raw(points: Points, fields: list[str]) -> DataFrame:
 
 
 def limited(found: DataFrame, fields: list[str], limit: int) -> DataFrame:
-    """The first ``limit`` rows by time of each field, lined up again. Each is a top-k, merged without a global sort."""
-    kinds = {f"v{i}": found.schema[f"v{i}"].dataType for i in range(len(fields))}
-    parts = []
-    for i in range(len(fields)):
-        part = found.filter(f"n{i} > 0").select("ts_ms", f"v{i}", f"n{i}").orderBy("ts_ms").limit(limit)
-        rest = [F.lit(None).cast(kinds[f"v{j}"]).alias(f"v{j}") for j in range(len(fields)) if j != i]
-        counts = [F.lit(0).cast("bigint").alias(f"n{j}") for j in range(len(fields)) if j != i]
-        parts.append(part.select("*", *rest, *counts))
-    if len(parts) == 1:
-        return parts[0]
-    both = reduce(DataFrame.unionByName, parts)
-    return both.groupBy("ts_ms").agg(
-        *(F.first(f"v{i}", ignorenulls=True).alias(f"v{i}") for i in range(len(fields))),
-        *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(fields))),
-    )
+    """The first ``limit`` rows by time of each field, lined up again.
+
+    One field: a top-k, merged without a global sort. Several: one aggregate gives each field's last time within its limit
+    (of its least times, ``limit`` at most are held for a field), which is joined back as one row.
+    """
+    if len(fields) == 1:
+        return found.filter("n0 > 0").orderBy("ts_ms").limit(limit)
+    every = range(len(fields))
+    if limit > HELD_TIMES:
+        tops = [found.filter(f"n{i} > 0").select("ts_ms").orderBy("ts_ms").limit(limit).agg(F.max("ts_ms").alias(f"last{i}")) for i in every]
+        last = reduce(DataFrame.crossJoin, tops)  # each is one row
+    else:
+        times = found.select(F.explode(F.array_compact(F.array(*(F.when(F.col(f"n{i}") > 0, F.struct(F.lit(i).alias("i"), "ts_ms")) for i in every)))).alias("_x")).select("_x.*")
+        first = times.withColumn("_place", F.row_number().over(Window.partitionBy("i").orderBy("ts_ms"))).filter(F.col("_place") <= limit)
+        last = first.agg(*(F.max(F.when(F.col("i") == i, F.col("ts_ms"))).alias(f"last{i}") for i in every))
+    here = [F.col("ts_ms") <= F.col(f"last{i}") for i in every]
+    rows = found.join(F.broadcast(last)).filter(reduce(or_, (h & (F.col(f"n{i}") > 0) for i, h in enumerate(here))))
+    values = [F.when(h, F.col(f"v{i}")).alias(f"v{i}") for i, h in enumerate(here)]
+    return rows.select("ts_ms", *values, *(F.when(h, F.col(f"n{i}")).otherwise(0).alias(f"n{i}") for i, h in enumerate(here)))
 
 
 def finished(found: DataFrame, fields: list[str], *, zero_fill: bool) -> DataFrame:
