@@ -347,7 +347,10 @@ def test_orc_prunes(spark, make, tmp_path):
         reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{file}"), jvm.org.apache.orc.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration()))
         assert reader.getRowIndexStride() == tokens.ROW_GROUP
         if reader.getNumberOfRows():
-            index = reader.rows().readRowIndex(0, None, None)
+            every = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+            for i in range(len(every)):
+                every[i] = True
+            index = reader.rows().readRowIndex(0, every, every)
             column = reader.getSchema().findSubtype("doc_id").getId()
             assert index.getRowGroupIndex()[column].getEntryCount() == -(-reader.getNumberOfRows() // tokens.ROW_GROUP)
             assert index.getBloomFilterIndex()[column].getBloomFilterCount() == index.getRowGroupIndex()[column].getEntryCount()
