@@ -43,6 +43,8 @@ TOP_GRAMS = 3_000_000
 TOP_WORDS = 500_000
 #: Distinct grams or words that a worker counts before it hands them on.
 HELD = 800_000
+#: Keys that a worker gathers before it sorts and counts them.
+WAITING = 2_000_000
 #: Symbols that are counted or scored at once; of a longer text one piece after another.
 PIECE = 500_000
 #: Bytes of text in hand at once; a symbol takes some 100 bytes while it is scored.
@@ -104,40 +106,59 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, ends
 
 
-def _places(ends: np.ndarray, a: int, b: int) -> np.ndarray:
-    """How many symbols of its own text come before each of the symbols a to b."""
-    at = np.arange(a, b)
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    return at - begins[np.searchsorted(ends, at)]
-
-
 def grams(texts: list[bytes], order: int) -> Iterator[np.ndarray]:
     """The longest gram that ends at each symbol, up to order + 1 symbols of its text: 9 bits each, symbols plus 1; by pieces."""
     data, ends = symbols(texts)
+    begins = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
     for a in range(0, len(data), PIECE):
         b = min(a + PIECE, len(data))
-        before = _places(ends, a, b)
-        key = data[a:b].astype(np.int64) + 1
+        piece = np.zeros(b - a + order, np.int64)
+        piece[max(order - a, 0) :] = data[max(a - order, 0) : b]
+        piece[max(order - a, 0) :] += 1
+        key = piece[order:].copy()
         for k in range(1, order + 1):
-            there = np.flatnonzero(before >= k)
-            key[there] += (data[a + there - k].astype(np.int64) + 1) << (_BITS * k)
+            key += piece[order - k : len(piece) - k] << (_BITS * k)
+        for j in range(order):  # the symbol that j symbols of its text precede
+            at = begins[np.searchsorted(begins, a - j) : np.searchsorted(begins, b - j)] + j - a
+            key[at] &= (1 << (_BITS * (j + 1))) - 1
         yield key
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, where each begins) of sorted keys."""
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[heads], heads
+
+
 class Counts:
-    """Sums by key, kept sorted; keys of ``grams`` or hashes."""
+    """Sums by key, kept sorted; keys of ``grams`` or hashes. Keys wait until there are WAITING of them, to be sorted at once."""
 
     def __init__(self, kind: int):
         self.kind, self.keys, self.sums = kind, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: dict[int, list[np.ndarray]] = {}
+        self.n_waiting = 0
 
     def add(self, keys: np.ndarray, weight: int = 1) -> None:
-        new, n = np.unique(keys, return_counts=True)
-        n *= weight
-        both = np.concatenate([self.keys, new])
-        self.keys, place = np.unique(both, return_inverse=True)
-        self.sums = np.bincount(place, weights=np.concatenate([self.sums, n]), minlength=len(self.keys)).astype(np.int64)
+        self.waiting.setdefault(weight, []).append(keys)
+        self.n_waiting += len(keys)
+        if self.n_waiting > WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        """Add up what waits."""
+        for weight, waiting in self.waiting.items():
+            new = np.concatenate(waiting)
+            new.sort()
+            new, heads = _runs(new)
+            n = np.diff(heads, append=sum(map(len, waiting))) * weight
+            both = np.concatenate([self.keys, new])
+            order = np.argsort(both, kind="stable")  # merges two sorted runs
+            self.keys, heads = _runs(both[order])
+            self.sums = np.add.reduceat(np.concatenate([self.sums, n])[order], heads) if len(heads) else self.sums[:0]
+        self.waiting, self.n_waiting = {}, 0
 
     def handed_on(self) -> pa.RecordBatch:
+        self.settle()
         out = pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), self.kind, np.int32)), pa.array(self.keys), pa.array(self.sums)], names=["kind", "key", "n"])
         self.keys, self.sums = self.keys[:0], self.sums[:0]
         return out
@@ -233,18 +254,22 @@ class Known:
         """(whether each is there, its value or 0)."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys))
-        value, place = np.unique(keys, return_inverse=True)
+        order = np.argsort(keys)
+        value, heads = _runs(keys[order])
         spot = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
-        hit = self.keys[spot] == value
-        return hit[place], np.where(hit, self.values[spot], 0.0)[place]
+        hit, times = self.keys[spot] == value, np.diff(heads, append=len(keys))
+        there, found = np.empty(len(keys), bool), np.empty(len(keys))
+        there[order] = np.repeat(hit, times)
+        found[order] = np.repeat(np.where(hit, self.values[spot], 0.0), times)
+        return there, found
 
 
 def gram_scores(known: Known, texts: list[bytes], order: int) -> tuple[np.ndarray, pa.ListArray]:
     """(sum of the known grams' costs, the other grams) of each text."""
-    ends = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))) - 1
+    cuts = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
     total, n_rest, rest, a = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [], 0
     for keys in grams(texts, order):
-        of = np.searchsorted(ends, np.arange(a, a + len(keys)))
+        of = np.repeat(np.arange(len(texts)), np.diff(np.clip(cuts, a, a + len(keys)), prepend=a))
         got, value = known.find(keys)
         total += np.bincount(of, weights=value, minlength=len(texts))
         n_rest += np.bincount(of[~got], minlength=len(texts))
