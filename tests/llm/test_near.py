@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import nearjoin
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, nearjoin
 from tidemark.llm import shingles as shingles_module
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_sets, word_hashes
@@ -107,6 +109,49 @@ def test_hot_group(make):
     check(make, rows, 4, 85)
 
 
+def test_long_sets_that_share_nothing_part(make, spark):
+    rng = random.Random(6)
+    docs = make([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000 + 40 * (i % 9)))) for i in range(24)] + [(30 + i, " ".join(f"x{j}" for j in range(60)) + f" {i}") for i in range(4)])
+    sets = nearjoin.set_table(docs, 5)
+    classes = sets.select("fa", "fb", "n", F.col("doc_id").alias("class_id"), "shape")
+    chain = spark.createDataFrame([(1, i + 1, i) for i in range(23)] + [(2, 31, 30), (2, 32, 31), (2, 33, 32)], "instance long, u long, v long")
+    assert {r["doc_id"] for r in nearjoin.clusters(chain, classes, 80).collect()} == {30, 31, 32, 33}
+
+
+def test_shapes_of_other_cells_bound_the_difference():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 2**64 - 1, n, dtype=np.uint64)) for n in (1, 250, 260, 1020, 1030, 5000)]
+    made = nearjoin._shapes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])).to_pylist()
+    assert [len(x) // 2 for x in made] == [64, 64, 128, 256, 512, 2048]
+    like = nearjoin._in_like_cells(made)
+    for i, x in enumerate(sets):
+        cells = (x >> np.uint64(32)).astype(np.int64) * 64 >> 32
+        assert like[i].tolist() == np.bincount(cells, minlength=64).tolist()
+
+
+def test_copies_go_in_rounds(make, monkeypatch):
+    rng, rows = random.Random(9), []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(200)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    moved, made = [], common.in_arrow
+
+    def seen(df, run, schema):
+        if "codes" in df.columns and "_key" in df.columns:
+            moved.append(df.agg(F.sum(F.size("codes"))).first()[0] or 0)
+        return made(df, run, schema)
+
+    monkeypatch.setattr(common, "in_arrow", seen)
+    monkeypatch.setattr(nearjoin, "BLOCK_ELEMENTS", 1000)
+    monkeypatch.setattr(nearjoin, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(nearjoin, "ROUND_ELEMENTS", 0, raising=False)
+    check(make, rows, 5, 80)
+    whole = sum(len(shingles(t, 5)) for _, t in rows)  # a round copies as many elements as all sets have, about
+    assert sum(moved) > 10 * whole and max(moved) < 3 * whole
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 10**6), st.sampled_from([80, 85]))
 def test_similar_sets_share_a_signature(size, seed, percent):

@@ -10,9 +10,10 @@ hashed to a signature, and similar sets share one. ``spare`` extra parts let sig
 Steps: one pass fingerprints the sets; a second one hashes them to signatures, links documents that share one inside a
 batch and forwards one document for each signature; the signatures meet by instance and hash range and are linked
 there; components of these candidate links, within an instance, are clusters. A cluster falls into parts by its sets'
-shapes: how many elements they have in each of CELLS cells of the domain. Shapes differ by no more than the sets do, so
-pairs whose shapes differ too much aren't similar. All pairs of a part are counted exactly. Both are done in blocks of
-bounded size. The components of the true links, with the classes of equal sets put back, are the result of
+shapes: how many elements they have in each of a number of cells of the domain, which grows with the set. Shapes differ by no
+more than the sets do, so pairs whose shapes differ too much aren't similar. All pairs of a part are counted exactly. Both are
+done in blocks of bounded size, every row being copied once for each block of its group; rounds bound the copies that are on
+disk at once. The components of the true links, with the classes of equal sets put back, are the result of
 ``near_components``, which needs a spanning forest of them only; ``near_pairs`` returns them all. Candidates only cost time:
 whatever shares no signature is not similar, whatever is not similar fails the exact count.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -40,10 +42,14 @@ from .shingles import mixed, shingle_sets
 LIGHT = 1
 #: Signatures of an instance that a range of hashes holds, about; the least number of ranges.
 RANGE_SIGNATURES, SHARDS = 2_000_000, 16
-#: Cells of a shape, 2 bytes each; documents in a block of a cluster, whose shapes are compared at once.
-CELLS, BLOCK_DOCS = 64, 4096
+#: Least cells of a shape, 2 bytes each, and elements in a cell at most: with more, unrelated sets have like shapes.
+CELLS, CELL_ELEMENTS = 64, 4
+#: Documents, and elements of their sets, in a block of a cluster, whose shapes are compared at once.
+BLOCK_DOCS, BLOCK_SHAPED = 4096, 8_000_000
 #: Elements of sets in a block of a part; a pair of blocks is counted at once.
 BLOCK_ELEMENTS = 500_000
+#: Elements (8 bytes each) that a round copies to pairs of blocks, if the elements of all sets aren't more.
+ROUND_ELEMENTS = 50_000_000
 #: Signatures that a worker holds before it links and forwards them.
 HELD = 1_500_000
 #: Up to so many documents of clusters their ids (8 bytes each) are broadcast to pick texts; beyond, texts are joined.
@@ -171,11 +177,19 @@ def _fingerprints(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _shapes(codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Numbers of each set's elements in the cells (equal ranges of codes), at most 32767, as 16-bit integers."""
-    n = len(offsets) - 1
-    cell = np.repeat(np.arange(n), np.diff(offsets)) * CELLS + (codes >> np.uint64(32)).astype(np.int64) * CELLS // 2**32
-    counts = np.minimum(np.bincount(cell, minlength=n * CELLS), 32767).astype("<i2")
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * CELLS).astype(np.int32)), pa.py_buffer(counts)])
+    """Numbers of each set's elements in its cells (equal ranges of codes, a power of two times CELLS), as 16-bit integers."""
+    sizes = np.diff(offsets)
+    cells = CELLS << np.ceil(np.log2(np.maximum(sizes / (CELLS * CELL_ELEMENTS), 1))).astype(np.int64)
+    ends = np.cumsum(cells)
+    cell = np.repeat(ends - cells, sizes) + ((codes >> np.uint64(32)).astype(np.int64) * np.repeat(cells, sizes) >> 32)
+    counts = np.minimum(np.bincount(cell, minlength=int(cells.sum())), 32767).astype("<i2")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, ends * 2).astype(np.int32)), pa.py_buffer(counts)])
+
+
+def _in_like_cells(shapes: list[bytes]) -> np.ndarray:
+    """A row for each shape, in as many cells as the smallest one has: cells of the others lie whole in one of its."""
+    cells = min(map(len, shapes)) // 2
+    return np.stack([np.frombuffer(x, "<i2").reshape(cells, -1).sum(1, dtype=np.int16) for x in shapes])
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
@@ -327,6 +341,20 @@ def _in_pairs_of_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
     return rows.withColumn("side", (F.col("_block") > F.col("_other")).cast("long")).drop("_blocks", "_block", "_other")
 
 
+def _compared(dealt: DataFrame, run, schema: str, name: str, amount: int, most: int) -> DataFrame:
+    """``run`` over the groups by ``_key`` of ``dealt``, whose shuffle moves ``amount``: in rounds of about ``most``, each with keys of its own."""
+    rounds, made = max(1, -(-amount // max(1, most))), []
+    for i in range(rounds):
+        some = dealt.filter(F.pmod("_key", F.lit(rounds)) == i) if rounds > 1 else dealt
+        made.append(common.stored(common.in_arrow(some.repartition("_key").sortWithinPartitions("_key"), run, schema), name))
+    return reduce(DataFrame.union, made)
+
+
+def _round_elements(classes: DataFrame) -> int:
+    """Elements that a round copies: as many as all sets have, so that disk stays in proportion to the input."""
+    return max(ROUND_ELEMENTS, classes.agg(F.sum("n")).first()[0] or 0)
+
+
 def _like(ids: np.ndarray, sizes: np.ndarray, shapes: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
     """Links between sets that may be similar by their sizes and shapes (side 0 with itself where there is no side 1)."""
     order = np.lexsort((ids, sizes))
@@ -353,21 +381,25 @@ def clusters(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFra
         for group in common.runs(batches, "_key"):
             if group.num_rows > 1:
                 ids, sizes, side, cluster = (group.column(c).to_numpy() for c in ("doc_id", "n", "side", "cluster"))
-                shapes = np.frombuffer(b"".join(group.column("shape").to_pylist()), "<i2").reshape(len(ids), CELLS)
+                shapes = _in_like_cells(group.column("shape").to_pylist())
                 forest = Forest()
                 forest.link(_like(ids, sizes, shapes, side, percent))
                 links = forest.edges()
                 if len(links):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(links), cluster[0])), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["cluster", "u", "v"])
 
-    dealt = _in_pairs_of_blocks(members, F.col("docs") / BLOCK_DOCS).select("_key", "cluster", "doc_id", "n", "side", "shape")
-    links = dealt.repartition("_key").sortWithinPartitions("_key")
-    links = common.in_arrow(links, compare, "cluster long, u long, v long")
-    return _grouped(common.stored(links, "like"), members.drop("shape", "docs", "elements"))
+    blocks = F.greatest(F.col("docs") / BLOCK_DOCS, F.col("elements") / BLOCK_SHAPED)
+    amount = members.agg(F.sum((F.length("shape") + 40) * F.ceil(blocks))).first()[0] or 0
+    dealt = _in_pairs_of_blocks(members, blocks).select("_key", "cluster", "doc_id", "n", "side", "shape")
+    links = _compared(dealt, compare, "cluster long, u long, v long", "like", amount, 8 * _round_elements(classes))
+    return _grouped(links, members.drop("shape", "docs", "elements"))
 
 
-def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int, *, every: bool = False) -> DataFrame:
-    """True links (u, v) inside clusters: a spanning forest of each pair of blocks, or every link (twice where two clusters share it)."""
+def _verified(docs: DataFrame, members: DataFrame, most: int, words: int, percent: int, *, every: bool = False) -> DataFrame:
+    """True links (u, v) inside clusters: a spanning forest of each pair of blocks, or every link (twice where two clusters share it).
+
+    A round copies about ``most`` elements; where there are several rounds, the sets are written first.
+    """
     places = members.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "elements")).alias("places"))  # at most two
     if members.count() <= MOST_BROADCAST:
         places = F.broadcast(places)
@@ -383,6 +415,10 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int, *,
                 at += len(ids)
 
     made = common.in_arrow(texts.select("doc_id", "text", "places"), sets, "doc_id long, places array<struct<cluster:bigint,elements:bigint>>, codes array<bigint>")
+    blocks = F.col("elements") / BLOCK_ELEMENTS
+    amount = members.agg(F.sum(F.col("n") * F.ceil(blocks))).first()[0] or 0
+    if amount > most:
+        made = common.stored(made, "clustered-sets")
     made = made.select("doc_id", "codes", F.explode("places").alias("_p")).select("doc_id", "codes", "_p.*")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,8 +436,8 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int, *,
                     forest.link(links)
         yield table(forest.edges())
 
-    dealt = _in_pairs_of_blocks(made, F.col("elements") / BLOCK_ELEMENTS).select("_key", "doc_id", "side", "codes")
-    return common.in_arrow(dealt.repartition("_key").sortWithinPartitions("_key"), count, "u long, v long")
+    dealt = _in_pairs_of_blocks(made, blocks).select("_key", "doc_id", "side", "codes")
+    return _compared(dealt, count, "u long, v long", "true-links", amount, most)
 
 
 def _sets_and_clusters(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -419,8 +455,8 @@ def near_pairs(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFra
     With the class_id of ``near_components`` no link between documents is lost: those of a class are all linked, and those of
     two linked classes too. There may be as many pairs as a group of similar classes has, its size squared.
     """
-    *_, members = _sets_and_clusters(docs, words, percent)
-    links = _verified(docs, members, words, percent, every=True)
+    _, _, classes, members = _sets_and_clusters(docs, words, percent)
+    links = _verified(docs, members, _round_elements(classes), words, percent, every=True)
     return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
 
 
@@ -431,7 +467,7 @@ def near_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     itself where it is linked with nothing.
     """
     sets, known, classes, members = _sets_and_clusters(docs, words, percent)
-    true = components(_verified(docs, members, words, percent))
+    true = components(_verified(docs, members, _round_elements(classes), words, percent))
     linked = F.coalesce("component", "class_id").alias("component_id")
     classes = classes.join(true, F.col("class_id") == F.col("node"), "left").select("fa", "fb", "n", "class_id", linked)
     whole = known.join(classes, ["fa", "fb", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
