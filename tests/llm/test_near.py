@@ -1,5 +1,6 @@
 """PartEnum self-join and components against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -200,3 +201,35 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
     assert got == {i: 100 for i in range(100, 131)} | {400: 400, 500: 400, 600: 400}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_scratch_files_start_one_process_each_and_are_tested(spark):
+    got = common.stored(spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s")).coalesce(1), "plain")
+    path = got.inputFiles()[0].removeprefix("file://")
+    made = os.listdir(os.path.dirname(path))
+    assert len([x for x in made if "part-" in x]) == 1 and not [x for x in made if x.endswith(".crc")]
+    assert got.agg(F.sum("id"), F.count("s")).first()[:] == (19_999 * 10_000, 20_000)
+    raw = bytearray(open(path, "rb").read())
+    raw[len(raw) // 2] ^= 1
+    open(path, "wb").write(raw)
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        got.agg(F.sum("id"), F.max("s")).first()
+
+
+def test_rounds_write_few_files(spark, monkeypatch):
+    tables, made = [], common.stored
+
+    def seen(df, name, **more):
+        tables.append(made(df, name, **more))
+        return tables[-1]
+
+    monkeypatch.setattr(common, "stored", seen)
+    for key, value in {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        spark.conf.set(key, value)
+    try:
+        got = components(spark.range(300).selectExpr("id + 1 as u", "0L as v"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tables) == 2 and len(tables[1].inputFiles()) <= 8  # a star is done in one round
+    assert {r["node"]: r["component"] for r in got.collect()} == dict.fromkeys(range(301), 0)

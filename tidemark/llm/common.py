@@ -65,12 +65,18 @@ def writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: On a local or mounted folder Hadoop starts a process (chmod) for each file it makes, for a moment another view of the whole JVM's
+#: memory, and makes a file of checksums beside each; without those it is half as many. Pages have checksums of their own, tested when read.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+_TESTED = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def written(df: DataFrame, path: str, *, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to ``path`` and read it."""
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**_PLAIN_FILES)
     with writing(df.sparkSession):
         (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).options(**_TESTED).parquet(path)
 
 
 def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Links in a file of a round, about, and files that a round has at most if its links are fewer.
+FILE_LINKS, FILES = 250_000, 8
+
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
     """Each link (u, v) with m, the least of u and all its neighbours. The minimum combines before the shuffle."""
@@ -21,21 +24,21 @@ def _both_ways(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``links`` (u, v) reaches, itself included.
 
-    Every round is written to the shared folder, so that lineage stays short; rounds grow with the logarithm of the
-    longest path, and there are as many as it takes. Links with a null end and links of a node to itself are left out.
+    Every round is written to the shared folder, so that lineage stays short, in files as its links need them; rounds grow with
+    the logarithm of the longest path, and there are as many as it takes. Links with a null end and links of a node to itself are
+    left out.
     """
-    spark = links.sparkSession
     now = common.stored(links.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = None
+    state = lambda: tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    mark = state()
     while True:
         large = _least_neighbour(_both_ways(now)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = _least_neighbour(down)
         small = least.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = common.stored(small.filter("u <> v").distinct(), "links")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
+        now = common.stored(small.filter("u <> v").distinct().coalesce(max(FILES, -(-mark[0] // FILE_LINKS))), "links")
+        before, mark = mark, state()
+        if mark == before:
             break
-        mark = tuple(found)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
