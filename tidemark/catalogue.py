@@ -311,11 +311,11 @@ _add("reinsert", reinsert, f"SELECT {EVENT_MS} AS ts_ms, arg_max(value, event_id
 
 
 def store_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left once the oldest records have gone from a store that is two thirds full."""
+    """What is left once the oldest records have gone from a store that is two thirds full; points written over aren't left."""
     store = _filled(spark, sf_dir)
     store.capacity = store.records().agg(F.sum("bytes")).first()[0] * 3 // 2
     store.expire(0.5, 0.05)
-    return store.timestamp_range("events")
+    return store.timestamp_range("events", once=True)
 
 
 _rows = f"SELECT {EVENT_MS} AS ms, event_type, event_id, value, value > 50 AS high, (event_id % 2, event_id) AS seq FROM events"

@@ -388,6 +388,9 @@ class Store:
         rows = self.catalog().filter(F.col("measurement") == measurement)
         return rows.select(F.explode(F.map_entries("tags")).alias("_e")).select("_e.key", "_e.value").distinct()
 
-    def timestamp_range(self, measurement: str) -> DataFrame:
-        """One row (min_ms, max_ms, points); points of writes not yet merged count each."""
-        return self.points(measurement=measurement).agg(F.min("ts_ms").alias("min_ms"), F.max("ts_ms").alias("max_ms"), F.count("*").alias("points"))
+    def timestamp_range(self, measurement: str, *, once: bool = False) -> DataFrame:
+        """One row (min_ms, max_ms, points); points of writes not yet merged count each, with ``once`` those of a series at one time as one."""
+        points = self.points(measurement=measurement)
+        if once:
+            points = points.select("series_id", "ts_ms").distinct()
+        return points.agg(F.min("ts_ms").alias("min_ms"), F.max("ts_ms").alias("max_ms"), F.count("*").alias("points"))
