@@ -41,8 +41,10 @@ TYPES = ("double", "bigint", "boolean", "string")
 #: Batches on a level from which compaction merges it; the last level.
 MERGE_AT, LAST_LEVEL = 4, 4
 MAX_CHUNK, DEFAULT_CHUNK = 65_535, 500
-#: Chunks to a file of a write; points to a file of a merged batch, about.
-CHUNKS, FILE_POINTS = 2000, 4_000_000
+#: Chunks to a file of a write; points that a task sorts and writes, about.
+CHUNKS, TASK_POINTS = 2000, 1_000_000
+#: What a batch is sorted by.
+KEYS = ("measurement", "field", "series_id", "ts_ms")
 
 RECORDS = "measurement string, field string, series_id string, seq bigint, start_ms bigint, points bigint"
 
@@ -162,9 +164,9 @@ class Store:
         if stream and manifest.streams.get(stream[0], -1) >= stream[1]:
             return True
         long = self._long(measurement, points, ts_col, tags or {}, list(tag_cols), kinds, seq_col)
-        long, clashes = self._without_clashes(long, manifest)
+        long, rows, clashes = self._without_clashes(long, manifest)
         name = uuid.uuid4().hex
-        batch = self._write(long, name, 0)
+        batch = self._write(self._dealt(long, rows, "ord"), name, 0)
         if batch.rows:
             self._add_catalog(manifest, name, batch, fields)
 
@@ -209,28 +211,28 @@ class Store:
         named = F.transform(tags, lambda e: F.concat_ws(":", plain(e["key"]), plain(e["value"])))
         return F.md5(F.concat_ws(":", F.lit(measurement), F.array_join(named, ":"), F.col("field")).cast("binary"))
 
-    def _without_clashes(self, long: DataFrame, manifest: Manifest) -> tuple[DataFrame, bool]:
+    def _without_clashes(self, long: DataFrame, manifest: Manifest) -> tuple[DataFrame, int, bool]:
+        """The points of fields whose type is that of their series, how many those are, and whether any field was left out."""
         if not manifest.catalog:
-            return long, False
+            return long, long.count(), False
         known = self.catalog(manifest).select("series_id", F.col("ftype").alias("_known"))
-        new = long.select("series_id", "field", "ftype").distinct().join(known, "series_id")
-        bad = [r["field"] for r in new.filter("ftype <> _known").select("field").distinct().collect()]
-        return (long.filter(~F.col("field").isin(bad)), True) if bad else (long, False)
+        runs = long.groupBy("series_id", "field", "ftype").count().join(known, "series_id", "left")
+        found = runs.groupBy("field").agg(F.sum("count").alias("points"), F.bool_or(F.col("ftype") != F.col("_known")).alias("bad")).collect()
+        bad = [r["field"] for r in found if r["bad"]]
+        rows = sum(r["points"] for r in found if not r["bad"])
+        return (long.filter(~F.col("field").isin(bad)), rows, True) if bad else (long, rows, False)
 
-    def _write(self, long: DataFrame, name: str, level: int, rows: int | None = None) -> Batch:
-        """Write points as a batch. ``rows``: about how many there are, where that is known.
+    def _dealt(self, points: DataFrame, rows: int, *more: str) -> DataFrame:
+        """Points dealt by field, series, time and ``more`` over as many tasks as ``rows`` of them need.
 
-        A field's points are dealt by series and time over as many tasks as they need, so neither a measurement of one field
-        nor a hot series is written by one task. A write knows nothing of its size and leaves that to Spark's rebalancing.
+        What a task sorts so depends neither on the input's partitions nor on how few fields or series there are.
         """
-        path, limit = f"points/{name}", self.chunk_size * CHUNKS if level == 0 else FILE_POINTS
-        if rows is None:
-            dealt = long.hint("rebalance", "measurement", "field")
-        else:
-            day = F.expr("ts_ms div 86400000")
-            spread = F.pmod(F.xxhash64("series_id", day), F.lit(max(1, -(-rows // FILE_POINTS))))
-            dealt = long.repartition("measurement", "field", spread)
-        dealt = dealt.sortWithinPartitions("measurement", "field", "series_id", "ts_ms")
+        return points.repartitionByRange(max(1, -(-rows // TASK_POINTS)), *KEYS, *more)
+
+    def _write(self, dealt: DataFrame, name: str, level: int) -> Batch:
+        """Write points as a batch, each partition sorted by itself."""
+        path, limit = f"points/{name}", self.chunk_size * CHUNKS if level == 0 else 4 * TASK_POINTS
+        dealt = dealt.sortWithinPartitions(*KEYS)
         dealt.write.option("maxRecordsPerFile", str(limit)).option("compression", "zstd").partitionBy("measurement", "field").parquet(f"{self.root}/{path}")
         written = self.spark.read.schema(POINTS).parquet(f"{self.root}/{path}")
         runs = written.groupBy("measurement", "field", "series_id", "seq").agg(F.min("ts_ms").alias("start_ms"), F.count("*").alias("points"))
@@ -239,12 +241,16 @@ class Store:
         files, size = self.files.usage(path, ".parquet")
         return Batch(path, level, n, size, files, None, f"records/{name}")
 
-    def _add_catalog(self, manifest: Manifest, name: str, batch: Batch, fields: list[str]) -> None:
-        """Series of the batch that the catalogue doesn't have yet; two writers may both bring one, the first counts."""
+    def _series_of(self, batch: Batch, fields: list[str]) -> DataFrame:
+        """The series of a write. All points of one have its tags and its type, so these are keys: as values, they would be sorted for."""
         place = F.array_position(F.array(*map(F.lit, fields)), F.col("field")).cast("bigint")
         written = self.spark.read.schema(POINTS).parquet(f"{self.root}/{batch.path}")
-        row = F.struct("tags", "ftype", "seq", place.alias("place"))
-        series = written.groupBy("measurement", "field", "series_id").agg(F.min_by(row, "ts_ms").alias("_row")).select("measurement", "field", "series_id", "_row.*")
+        series = written.select("measurement", "field", "series_id", F.array_sort(F.map_entries("tags")).alias("_tags"), "ftype").distinct()
+        return series.select("measurement", "field", "series_id", F.map_from_entries("_tags").alias("tags"), "ftype", F.lit(None).cast("bigint").alias("seq"), place.alias("place"))
+
+    def _add_catalog(self, manifest: Manifest, name: str, batch: Batch, fields: list[str]) -> None:
+        """Series of the batch that the catalogue doesn't have yet; two writers may both bring one, the first counts."""
+        series = self._series_of(batch, fields)
         if manifest.catalog:
             series = series.join(self.catalog(manifest).select("series_id"), "series_id", "left_anti")
         series.select(*_names(CATALOG)).write.parquet(f"{self.root}/catalog/{name}")
@@ -317,8 +323,9 @@ class Store:
     def _merge(self, batches: tuple[Batch, ...], level: int, *, whole: bool = False) -> None:
         """Replace ``batches`` by one. ``whole``: they were all there were, so what they and the catalogue no longer hold is forgotten."""
         manifest, name = self.manifest, uuid.uuid4().hex
-        points = newest(self.points(manifest, batches=batches), ["measurement", "field", "series_id", "ts_ms"], ["seq", "ord"])
-        merged = self._write(points.select(*_names(POINTS)), name, level, sum(b.rows for b in batches)) if batches else None
+        dealt = self._dealt(self.points(manifest, batches=batches), sum(b.rows for b in batches))
+        points = newest(dealt, list(KEYS), ["seq", "ord"])  # dealt by its keys: no further shuffle
+        merged = self._write(points.select(*_names(POINTS)), name, level) if batches else None
         kept, applied, listed = (merged,) if merged and merged.rows else (), set(manifest.tombstones), set(manifest.catalog)
         forget = whole and set(batches) == set(manifest.batches)
         if forget:
