@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Query, catalogue
+from tidemark import Aggregate, Query, catalogue
 from tidemark.sources import store as store_module
 from tidemark.sources.store import Store
 
@@ -74,3 +74,22 @@ def test_series_of_a_write_take_no_sort(spark, small):
     assert "SortAggregate" not in series._jdf.queryExecution().executedPlan().toString()
     got = sorted((r["field"], r["tags"]["s"], r["tags"]["a"], len(r["tags"]), r["ftype"], r["seq"], r["place"]) for r in series.collect())
     assert got == [(f, s, "b", 2, t, None, p) for f, t, p in (("v", "bigint", 1), ("w", "boolean", 2)) for s in "012"]
+
+
+def test_reads_are_dealt_by_points(spark, small):
+    """What a split of files holds isn't aggregated before it is dealt; filters and columns still reach the files."""
+    small.insert("m", spark.range(3000).selectExpr("id div 3 AS ts_ms", "CAST(id % 2 AS string) AS s", "id AS v", "id AS w"), tag_cols=("s",))
+    raw = Query("m", fields=("v",), tags=(("s", "1"),), start_ms=10)
+    for query in (raw, Query("m", fields=("v",), tags=(("s", "1"),), start_ms=10, rollup_interval=100, method=Aggregate.COUNT)):
+        got = small.query(query)
+        physical = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        lines = [line.strip(" :+-*") for line in physical.splitlines()]
+        scan = next(i for i, line in enumerate(lines) if line.startswith("FileScan"))
+        above = [line for line in lines[:scan] if line.startswith(("Exchange", "SortAggregate", "Sort "))]
+        assert above[-1].startswith("Exchange hashpartitioning(ts_ms") and ", 6)" in above[-1], above[-1]
+        assert "GreaterThanOrEqual(ts_ms,10)" in lines[scan] and "v_string" not in lines[scan], lines[scan]
+        assert "field" in lines[scan].split("PartitionFilters")[1]
+    want = {i // 3: i for i in range(3000) if i % 2 and i // 3 >= 10}
+    assert [tuple(r) for r in small.query(raw).collect()] == sorted(want.items())
+    assert sum(r["v"] for r in got.collect()) == len(want)
+    assert tuple(small.timestamp_range("m", once=True).first()) == (0, 999, 4000)

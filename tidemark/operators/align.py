@@ -28,7 +28,7 @@ def raw(points: Points, fields: list[str]) -> DataFrame:
     """
     values = [F.max_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), points.order(i))).alias(f"v{i}") for i in range(len(fields))]
     here = [F.count(f"v{i}").alias(f"n{i}") for i in range(len(fields))]
-    return points.df.groupBy("ts_ms").agg(*values, *here)
+    return points.dealt().groupBy("ts_ms").agg(*values, *here)
 
 
 def limited(found: DataFrame, fields: list[str], limit: int) -> DataFrame:

@@ -20,7 +20,7 @@ def last_writes(points: Points) -> Points:
     keys = ["ts_ms", *(["k0"] if points.has_series else [])]
     values = [F.max_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), F.col("seq"))).alias(f"v{i}") for i in fields]
     others = [F.max(f"k{i}").alias(f"k{i}") for i in fields if i] if points.has_series else []
-    df = points.df.groupBy(*keys).agg(*values, *others)
+    df = points.dealt().groupBy(*keys).agg(*values, *others)
     return Points(df, points.kinds, False, points.has_series)
 
 

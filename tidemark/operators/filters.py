@@ -25,6 +25,11 @@ class Points:
     kinds: tuple[str, ...]
     has_seq: bool
     has_series: bool
+    tasks: int = 0
+
+    def dealt(self) -> DataFrame:
+        """The rows by time and series over ``tasks`` tasks; their aggregate by these then takes no further shuffle."""
+        return self.df.repartition(self.tasks, "ts_ms", *(["k0"] if self.has_series else [])) if self.tasks else self.df
 
     def order(self, i: int, *first: str) -> Column:
         """A total order of the i-th field's points: ``first``, then series, then writes."""
@@ -52,4 +57,4 @@ def selected(binding: SeriesBinding, fields: list[str], query: Query) -> Points:
         columns += [binding.series_key(f).alias(f"k{i}") for i, f in enumerate(fields)]
     if binding.seq_cols:
         columns.append(F.struct(*binding.seq()).alias("seq"))
-    return Points(df.select(*columns), tuple(map(binding.field_type, fields)), bool(binding.seq_cols), has_series)
+    return Points(df.select(*columns), tuple(map(binding.field_type, fields)), bool(binding.seq_cols), has_series, binding.tasks)

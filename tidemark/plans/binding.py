@@ -25,7 +25,8 @@ class SeriesBinding:
     ``ts_col`` holds milliseconds (long) or a timestamp with or without zone. ``seq_cols`` order writes: of the rows of
     a series at one time the last counts; without them rows are taken to be unique. ``series_col`` names a column with
     the series' key where there is one; else the key is the MD5 of measurement and tags. ``tag_map`` names a map column
-    that holds the tags instead of ``tag_cols``.
+    that holds the tags instead of ``tag_cols``. ``tasks``: over how many tasks rows are dealt before any are aggregated, where
+    Spark's splits would hold too many of them; 0 leaves them as they are read.
     """
 
     df: DataFrame
@@ -36,6 +37,7 @@ class SeriesBinding:
     seq_cols: Sequence[str] = ()
     series_col: str | None = None
     tag_map: str | None = None
+    tasks: int = 0
 
     def __post_init__(self) -> None:
         if not self.measurement:

@@ -95,6 +95,11 @@ class Store:
             df = df.filter(F.col("measurement") == measurement)
         return self._live(df, manifest, measurement)
 
+    def _tasks(self, manifest: Manifest) -> int:
+        """Over how many tasks to deal what is read: a split of files may hold many times the points that a task should sort. 0: no need."""
+        rows = sum(b.rows for b in manifest.batches)
+        return max(-(-rows // TASK_POINTS), self.spark.sparkContext.defaultParallelism) if rows > TASK_POINTS else 0
+
     def catalog(self, manifest: Manifest | None = None) -> DataFrame:
         """The live series: (measurement, field, series_id, tags, ftype, place), each once, as first seen."""
         manifest = manifest or self.manifest
@@ -125,7 +130,7 @@ class Store:
         columns = [F.when(F.col("field") == f, F.col(f"v_{kind}")).alias(f) for f, kind in fields.items()]
         hidden = {"ts_ms": "__ts_ms", "series_id": "__series", "tags": "__tags", "seq": "__seq", "ord": "__ord", "field": "__field"}
         df = df.select(*(F.col(a).alias(b) for a, b in hidden.items()), *columns)
-        return SeriesBinding(df, measurement, "__ts_ms", (), tuple(fields), ("__seq", "__ord"), "__series", "__tags")
+        return SeriesBinding(df, measurement, "__ts_ms", (), tuple(fields), ("__seq", "__ord"), "__series", "__tags", self._tasks(manifest))
 
     def query(self, query: Query) -> DataFrame:
         """The query's result, as ``plans.plan`` defines it. Partitions of fields that it doesn't name aren't read."""
@@ -134,7 +139,7 @@ class Store:
             return self.spark.createDataFrame([], "ts_ms bigint")
         if query.fields:
             wanted = [f for f in query.fields if f in bound.field_cols]
-            bound = SeriesBinding(bound.df.filter(F.col("__field").isin(wanted)), bound.measurement, bound.ts_col, (), wanted, bound.seq_cols, bound.series_col, bound.tag_map)
+            bound = replace(bound, df=bound.df.filter(F.col("__field").isin(wanted)), field_cols=wanted)
         return plan(query, bound)
 
     def query_string(self, text: str, **settings) -> DataFrame:
@@ -397,7 +402,9 @@ class Store:
 
     def timestamp_range(self, measurement: str, *, once: bool = False) -> DataFrame:
         """One row (min_ms, max_ms, points); points of writes not yet merged count each, with ``once`` those of a series at one time as one."""
-        points = self.points(measurement=measurement)
+        manifest = self.manifest
+        points = self.points(manifest, measurement)
         if once:
-            points = points.select("series_id", "ts_ms").distinct()
+            points, tasks = points.select("series_id", "ts_ms"), self._tasks(manifest)
+            points = (points.repartition(tasks, "series_id", "ts_ms") if tasks else points).distinct()
         return points.agg(F.min("ts_ms").alias("min_ms"), F.max("ts_ms").alias("max_ms"), F.count("*").alias("points"))
